@@ -258,11 +258,11 @@ def q_publish_plan(spark: SparkSession, sf: str) -> DataFrame:
         F.count("new_points").alias("new_n"),
         F.bool_and(F.col("status") == "unchanged").alias("identical"),
     )
-    current = V.table(spark, sf, "orders").agg(F.max(season_of_date(F.col("o_orderdate"))).alias("current"))
+    current = V.table(spark, sf, "orders").agg(F.max(season_of_date(F.col("o_orderdate")))).scalar()
     shipped = V.table(spark, sf, "lineitem").select(F.year("l_shipdate").alias("y")).distinct()
-    manifest = shipped.join(F.broadcast(current)).select(  # one row
+    manifest = shipped.select(
         F.concat(F.lit("totals/"), F.col("y").cast("string")).alias("path"),
-        (F.col("y") >= F.col("current")).alias("inProgress"),
+        (F.col("y") >= current).alias("inProgress"),
     )
     keyed = per_season.withColumn("path", F.concat(F.lit("totals/"), F.col("season").cast("string")))
     action = diff.publish_action(F.col("old_n") > 0, F.col("identical"), F.col("inProgress"))

@@ -19,5 +19,5 @@ def snapshot_date_of(file_name: Column) -> Column:
 
 def age_days(run_time: Column, day: Column) -> Column:
     """Fractional days from midnight UTC of ``day`` to ``run_time``; NULL for an unknown day."""
-    midnight = F.unix_millis(day.cast("timestamp"))
+    midnight = F.unix_date(day).cast("long") * F.lit(86400000)
     return (F.unix_millis(run_time.cast("timestamp")) - midnight) / F.lit(86400000.0)

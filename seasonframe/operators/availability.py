@@ -73,7 +73,10 @@ def shown_status(status: Column, season: Column) -> Column:
 
 
 def segment_rows(totals: DataFrame) -> DataFrame:
-    """One row per absence segment: ``season, player_id, start, end, length``."""
-    return totals.select(
-        "season", "player_id", F.inline("availability.absenceSegments")
-    )
+    """One row per absence segment: ``season, player_id, start, end, length``.
+
+    The outer form keeps the optimizer from inferring a "not empty" filter, which it would
+    push down by copying the whole segment expression.
+    """
+    rows = totals.select("season", "player_id", F.inline_outer("availability.absenceSegments"))
+    return rows.filter("start IS NOT NULL")

@@ -14,9 +14,9 @@ FIELDS = ("name", "team", "value", "position")
 
 
 def latest_snapshot(market: DataFrame) -> DataFrame:
-    """Rows of the newest snapshot. The date comes from a one-row aggregate."""
-    newest = market.agg(F.max("snapshot_date").alias("snapshot_date"))
-    return market.join(F.broadcast(newest), "snapshot_date", "left_semi")
+    """Rows of the newest snapshot; the date is a scalar subquery, so stored dates are pruned."""
+    newest = market.agg(F.max("snapshot_date")).scalar()
+    return market.filter(F.col("snapshot_date") == newest)
 
 
 def snapshot_calendar(market: DataFrame) -> DataFrame:
@@ -36,14 +36,6 @@ def fingerprints(market: DataFrame) -> DataFrame:
     return market.groupBy("snapshot_date").agg(*multiset_fingerprint(row))
 
 
-def same_content(left: str, right: str):
-    """Condition: two aliased fingerprint rows describe the same bag of rows."""
-    cond = F.lit(True)
-    for name in ("n", "hash_lo", "hash_hi"):
-        cond = cond & F.col(f"{left}.{name}").eqNullSafe(F.col(f"{right}.{name}"))
-    return cond
-
-
 def snapshot_changes(market: DataFrame) -> DataFrame:
     """``snapshot_date, changed``: does a snapshot differ from the one before it."""
     order = Window.orderBy("snapshot_date")

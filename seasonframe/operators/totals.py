@@ -62,12 +62,14 @@ def season_totals(entries: DataFrame) -> DataFrame:
 
 def stat_rows(totals: DataFrame) -> DataFrame:
     """Long form of the summed stats: ``season, player_id, stat_key, total``."""
-    return totals.select("season", "player_id", F.explode("stats").alias("stat_key", "total"))
+    rows = totals.select("season", "player_id", F.explode_outer("stats").alias("stat_key", "total"))
+    return rows.filter("stat_key IS NOT NULL")
 
 
 def point_rows(totals: DataFrame) -> DataFrame:
     """Long form of the weekly points: ``season, player_id, week, points``."""
-    return totals.select("season", "player_id", F.explode("weeklyPoints").alias("week", "points"))
+    rows = totals.select("season", "player_id", F.explode_outer("weeklyPoints").alias("week", "points"))
+    return rows.filter("week IS NOT NULL")
 
 
 def league_points(totals: DataFrame, weights: Mapping[str, float] | Column) -> DataFrame:

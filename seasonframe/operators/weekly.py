@@ -54,9 +54,10 @@ def week_mask(week: Column) -> Column:
 def status_array(played: Column, byes: Column, listed: Column) -> Column:
     """Array of 18 codes from the week sets of a player."""
 
-    def code(week: int) -> Column:
+    def code(week: Column) -> Column:
         def has(mask: Column) -> Column:
-            return F.coalesce(mask.bitwiseAND(F.lit(1 << week)) != 0, F.lit(False))
+            bit = F.call_function("shiftright", mask, week).bitwiseAND(F.lit(1))
+            return F.coalesce(bit == 1, F.lit(False))
 
         return (
             F.when(has(played), PLAYED)
@@ -65,7 +66,7 @@ def status_array(played: Column, byes: Column, listed: Column) -> Column:
             .otherwise(ABSENT)
         )
 
-    return F.array(*[code(week) for week in range(1, WEEKS + 1)])
+    return F.transform(F.sequence(F.lit(1), F.lit(WEEKS)), code)
 
 
 def player_weeks(entries: DataFrame) -> DataFrame:
