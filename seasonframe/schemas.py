@@ -34,6 +34,8 @@ SEASON_RECORD = (
     "weeklyPoints MAP<INT, DOUBLE>, fantasyPoints DOUBLE, scoringBasis STRING, "
     f"weeklyStatus ARRAY<STRING>, availability {AVAILABILITY}"
 )
+# JSON objects only have text keys.
+SEASON_DOCUMENT = SEASON_RECORD.replace("MAP<INT, DOUBLE>", "MAP<STRING, DOUBLE>")
 SEASON_TOTALS = f"season INT, player_id STRING, {SEASON_RECORD}"
 
 COLLEGE_STATS = (

@@ -27,10 +27,11 @@ def keyed_documents(docs: DataFrame, record: str, key: str) -> DataFrame:
 def array_documents(docs: DataFrame, row: str) -> DataFrame:
     """Arrays of flat objects to one row per element, with ``ord`` the position.
 
-    Text that is not such an array gives no rows.
+    Text that is not an array gives no rows; ``from_json`` alone would take a single
+    object for an array of one.
     """
     keep = [c for c in docs.columns if c != "value"]
-    parsed = F.from_json("value", S.array_of(row))
+    parsed = F.when(F.col("value").rlike(r"^\s*\["), F.from_json("value", S.array_of(row)))
     rows = docs.select(*keep, F.posexplode(parsed).alias("ord", "record"))
     return rows.select(*keep, F.col("ord").cast("long").alias("ord"), "record.*")
 
@@ -53,7 +54,8 @@ def read_season_totals(spark: SparkSession, path: str) -> DataFrame:
     docs = path_or_empty(spark, path).select(
         "value", file_stem(F.col("file")).try_cast("int").alias("season")
     )
-    return keyed_documents(docs, S.SEASON_RECORD, "player_id")
+    rows = keyed_documents(docs, S.SEASON_DOCUMENT, "player_id")
+    return rows.withColumn("weeklyPoints", F.col("weeklyPoints").cast("map<int,double>"))
 
 
 def read_college(spark: SparkSession, path: str) -> DataFrame:
