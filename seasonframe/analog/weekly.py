@@ -100,7 +100,7 @@ SELECT CAST(season - 4 AS INTEGER) AS season, player_id,
 def q_status_string(spark: SparkSession, sf: str) -> DataFrame:
     """Status as shown, with the seasons moved to either side of 2021."""
     moved = _totals(spark, sf).withColumn("season", F.col("season") - 4)
-    shown = A.shown_status(F.col("weeklyStatus"), F.col("season"))
+    shown = A.shown_status("weeklyStatus", "season")
     return moved.select(*KEY, F.array_join(shown, "").alias("status"))
 
 
@@ -138,10 +138,7 @@ FROM per JOIN avail USING (season, player_id) JOIN shown USING (season, player_i
 def q_season_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Season totals and availability, one flat row per player and season."""
     t = F.col("availability")
-    text = F.transform(
-        t["absenceSegments"],
-        lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string")),
-    )
+    text = F.expr("transform(availability.absenceSegments, s -> s.start || '-' || s.end)")
     return _totals(spark, sf).select(
         *KEY,
         F.col("gamesPlayed").alias("games_played"),

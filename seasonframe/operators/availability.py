@@ -1,4 +1,8 @@
-"""Availability measures from a weekly status array. Narrow: no shuffle."""
+"""Availability measures from a weekly status array. Narrow: no shuffle.
+
+Functions take the name of the array column and return SQL expressions over it. Lambda
+variables end in an underscore, so that they cannot hide a column.
+"""
 
 from __future__ import annotations
 
@@ -9,57 +13,55 @@ from seasonframe.constants import ABSENCE_CAUSE, DNP, PLAYED, WEEKS
 from seasonframe.schemas import AVAILABILITY, SEGMENTS
 
 
-def first_played(status: Column) -> Column:
-    return F.nullif(F.array_position(status, PLAYED), F.lit(0)).cast("int")
+def _first(status: str) -> str:
+    return f"CAST(nullif(array_position({status}, '{PLAYED}'), 0) AS INT)"
 
 
-def last_played(status: Column) -> Column:
-    from_end = F.nullif(F.array_position(F.reverse(status), PLAYED), F.lit(0))
-    return (F.size(status) + 1 - from_end).cast("int")
+def _last(status: str) -> str:
+    from_end = f"nullif(array_position(reverse({status}), '{PLAYED}'), 0)"
+    return f"CAST(size({status}) + 1 - {from_end} AS INT)"
 
 
-def absence_segments(status: Column) -> Column:
-    """Maximal runs of D strictly between the first and the last played week.
+def _segments(status: str) -> str:
+    first, last = _first(status), _last(status)
+    inside = f"CASE WHEN {first} IS NOT NULL THEN sequence({first}, {last}) ELSE CAST(array() AS ARRAY<INT>) END"
+    missed = f"filter({inside}, wk_ -> get({status}, wk_ - 1) = '{DNP}')"
+    starts = f"filter({missed}, wk_ -> get({status}, wk_ - 2) != '{DNP}')"
+    ends = f"filter({missed}, wk_ -> get({status}, wk_) != '{DNP}')"
+    return f"CAST(zip_with({starts}, {ends}, (from_, to_) -> struct(from_, to_, to_ - from_ + 1)) AS {SEGMENTS})"
 
-    Both ends of the window are played weeks, so a run starts where the week before is
-    not D and ends where the week after is not D. B and X break a run. Without a played
-    week the window is empty, which has to be said: its bounds are NULL.
-    """
-    first, last = first_played(status), last_played(status)
-    inside = F.when(first.isNotNull(), F.sequence(first, last)).otherwise(
-        F.array().cast("array<int>")
-    )
-    missed = F.filter(inside, lambda w: F.get(status, w - 1) == DNP)
-    starts = F.filter(missed, lambda w: F.get(status, w - 2) != DNP)
-    ends = F.filter(missed, lambda w: F.get(status, w) != DNP)
-    runs = F.transform(
-        F.arrays_zip(starts.alias("s"), ends.alias("e")),
-        lambda r: F.struct(
-            r["s"].alias("start"), r["e"].alias("end"), (r["e"] - r["s"] + 1).alias("length")
-        ),
-    )
-    return runs.cast(SEGMENTS)
 
+def first_played(status: str) -> Column:
+    return F.expr(_first(status))
 
-def longest_absence(segments: Column) -> Column:
-    return F.coalesce(F.array_max(F.transform(segments, lambda s: s["length"])), F.lit(0))
 
+def last_played(status: str) -> Column:
+    return F.expr(_last(status))
 
-def returned_from_absence(segments: Column, last: Column) -> Column:
-    return F.coalesce(F.exists(segments, lambda s: s["end"] < last), F.lit(False))
 
+def absence_segments(status: str) -> Column:
+    """Maximal runs of D strictly between the first and the last played week.
 
-def availability(status: Column, segments: Column | None = None) -> Column:
-    segments = absence_segments(status) if segments is None else segments
-    last = last_played(status)
-    return F.struct(
-        longest_absence(segments).alias("longestAbsence"),
-        segments.alias("absenceSegments"),
-        first_played(status).alias("firstWeek"),
-        last.alias("lastWeek"),
-        returned_from_absence(segments, last).alias("returnedFromAbsence"),
-        F.lit(ABSENCE_CAUSE).alias("absenceCause"),
-    ).cast(AVAILABILITY)
+    Both ends of the window are played weeks, so a run starts where the week before is
+    not D and ends where the week after is not D. B and X break a run. Without a played
+    week the window is empty, which has to be said: its bounds are NULL.
+    """
+    return F.expr(_segments(status))
+
+
+def availability(status: str, segments: str | None = None) -> Column:
+    """The availability record; ``segments`` names a column that already holds them."""
+    found = segments or _segments(status)
+    last = _last(status)
+    return F.expr(
+        f"""CAST(struct(
+            coalesce(array_max(transform({found}, seg_ -> seg_.length)), 0),
+            {found},
+            {_first(status)},
+            {last},
+            coalesce(exists({found}, seg_ -> seg_.end < {last}), false),
+            '{ABSENCE_CAUSE}') AS {AVAILABILITY})"""
+    )
 
 
 def long_absence_flag(longest: Column, weeks: int = 3) -> Column:
@@ -67,9 +69,9 @@ def long_absence_flag(longest: Column, weeks: int = 3) -> Column:
     return longest >= weeks
 
 
-def shown_status(status: Column, season: Column) -> Column:
+def shown_status(status: str, season: str) -> Column:
     """Status array for display: seasons before 2021 had 17 weeks."""
-    return F.slice(status, 1, F.when(season < 2021, WEEKS - 1).otherwise(WEEKS))
+    return F.expr(f"slice({status}, 1, CASE WHEN {season} < 2021 THEN {WEEKS - 1} ELSE {WEEKS} END)")
 
 
 def segment_rows(totals: DataFrame) -> DataFrame:

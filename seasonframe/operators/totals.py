@@ -8,55 +8,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seasonframe.constants import BYE, DNP, POINTS_KEY, SCORING_BASIS
-from seasonframe.functions import ordered_sum, round_cents, weighted_sum
+from seasonframe.functions import round_cents, weighted_sum
 from seasonframe.operators.availability import absence_segments, availability
 from seasonframe.operators.weekly import flag_is_one, player_weeks
 
 
-def _count(status: Column, code: str) -> Column:
-    return F.size(F.filter(status, lambda s: s == code))
-
-
-def _add_stats(total: Column, stats: Column) -> Column:
-    """Key-wise sum; keys whose value is NULL are not taken in."""
-    return F.map_zip_with(
-        total,
-        F.map_filter(stats, lambda _, v: v.isNotNull()),
-        lambda _, a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)),
-    )
-
-
-def _points(week: Column) -> Column:
-    return F.coalesce(week["stats"][POINTS_KEY], F.lit(0.0))
-
-
 def season_totals(entries: DataFrame) -> DataFrame:
     """Totals of every season and player in ``entries`` (schema ``weekly_entries``).
 
-    Once the weeks of a player are together everything is per row: counts, the ordered
-    points sum, the key-wise stats sum in week order and the availability record.
+    Once the weeks of a player are together everything is per row: counts, the points sum
+    and the key-wise stats sum in week order, and the availability record. Stat keys whose
+    value is NULL are not taken in.
     """
-    status = F.col("weeklyStatus")
-    no_stats = F.create_map().cast("map<string,double>")
-    week_points = F.transform("played", lambda w: F.struct(w["week"], _points(w)))
-    return (
-        player_weeks(entries)
-        .withColumn("played", F.array_sort("played", lambda a, b: a["week"] - b["week"]))
-        .withColumn("segments", absence_segments(status))
-        .select(
-            "season",
-            "player_id",
-            F.aggregate("played", no_stats, lambda acc, w: _add_stats(acc, w["stats"])).alias("stats"),
-            F.size("played").alias("gamesPlayed"),
-            F.size(F.filter("played", lambda w: flag_is_one(w["stats"], "gs"))).alias("gamesStarted"),
-            _count(status, BYE).alias("byeWeeks"),
-            _count(status, DNP).alias("dnpWeeks"),
-            F.map_from_entries(week_points).cast("map<int,double>").alias("weeklyPoints"),
-            round_cents(ordered_sum(F.transform("played", _points))).alias("fantasyPoints"),
-            F.lit(SCORING_BASIS).alias("scoringBasis"),
-            status.alias("weeklyStatus"),
-            availability(status, F.col("segments")).alias("availability"),
-        )
+    weeks = player_weeks(entries).select(
+        "season",
+        "player_id",
+        F.expr("array_sort(played, (a, b) -> a.week - b.week)").alias("played"),
+        "weeklyStatus",
+    )
+    points = f"coalesce(w.stats['{POINTS_KEY}'], 0D)"
+    total = F.expr(f"aggregate(played, 0D, (acc, w) -> acc + {points})")
+    return weeks.withColumn("segments", absence_segments("weeklyStatus")).select(
+        "season",
+        "player_id",
+        F.expr(
+            """aggregate(played, CAST(map() AS MAP<STRING, DOUBLE>), (acc, w) ->
+                 map_zip_with(acc, map_filter(w.stats, (k, v) -> v IS NOT NULL),
+                              (k, a, b) -> coalesce(a, 0D) + coalesce(b, 0D)))"""
+        ).alias("stats"),
+        F.expr("size(played) AS gamesPlayed"),
+        F.expr(f"size(filter(played, w -> {flag_is_one('w.stats', 'gs')})) AS gamesStarted"),
+        F.expr(f"size(filter(weeklyStatus, s -> s = '{BYE}')) AS byeWeeks"),
+        F.expr(f"size(filter(weeklyStatus, s -> s = '{DNP}')) AS dnpWeeks"),
+        F.expr(
+            f"CAST(map_from_entries(transform(played, w -> struct(w.week, {points}))) AS MAP<INT, DOUBLE>)"
+        ).alias("weeklyPoints"),
+        round_cents(total).alias("fantasyPoints"),
+        F.lit(SCORING_BASIS).alias("scoringBasis"),
+        "weeklyStatus",
+        availability("weeklyStatus", "segments").alias("availability"),
     )
 
 

@@ -15,22 +15,19 @@ ENTRY_KEY = ["season", "week", "player_id"]
 def usable_entries(raw: DataFrame) -> DataFrame:
     """Rows with a player id and a stats map (which may be empty) in weeks 1 to 18."""
     return raw.filter(
-        F.col("season").isNotNull()
-        & F.col("week").between(1, WEEKS)
-        & (F.col("player_id") != "")
-        & F.col("stats").isNotNull()
+        f"season IS NOT NULL AND week BETWEEN 1 AND {WEEKS} AND player_id != '' AND stats IS NOT NULL"
     )
 
 
-def flag_is_one(stats: Column, key: str) -> Column:
+def flag_is_one(stats: str, key: str) -> str:
     """Strictly one: 0, NULL, a missing key and any other number are all false."""
-    return F.coalesce(stats[key] == 1, F.lit(False))
+    return f"coalesce({stats}['{key}'] = 1, false)"
 
 
 def unique_entries(entries: DataFrame) -> DataFrame:
     """First-seen entry per season, week and player, with the ``played`` flag."""
     kept = first_seen(usable_entries(entries), ENTRY_KEY, "ord")
-    return kept.withColumn("played", flag_is_one(F.col("stats"), "gp"))
+    return kept.withColumn("played", F.expr(flag_is_one("stats", "gp")))
 
 
 def bye_rows(unique: DataFrame) -> DataFrame:
@@ -39,34 +36,21 @@ def bye_rows(unique: DataFrame) -> DataFrame:
     Only narrow rows travel: idle entries on one side, the distinct (week, team) pairs
     with a player in action on the other. A missing or empty team is never on a bye.
     """
-    named = unique.filter("team <> ''")
-    playing = named.filter("played").select("season", "week", "team").distinct()
-    idle = named.filter("NOT played").select("season", "week", "team", "player_id")
     on = ["season", "week", "team"]
+    playing = unique.filter("team != '' AND played").select(*on).distinct()
+    idle = unique.filter("team != '' AND NOT played").select(*on, "player_id")
     return salted_lookup(idle, playing, on, ["player_id"], "left_anti").drop("team")
 
 
-def week_mask(week: Column) -> Column:
-    """Set of weeks as bits of an INT; ``bit_or`` merges sets on the map side."""
-    return F.bit_or(F.call_function("shiftleft", F.lit(1), week))
-
-
-def status_array(played: Column, byes: Column, listed: Column) -> Column:
-    """Array of 18 codes from the week sets of a player."""
-
-    def code(week: Column) -> Column:
-        def has(mask: Column) -> Column:
-            bit = F.call_function("shiftright", mask, week).bitwiseAND(F.lit(1))
-            return F.coalesce(bit == 1, F.lit(False))
-
-        return (
-            F.when(has(played), PLAYED)
-            .when(has(byes), BYE)
-            .when(has(listed), DNP)
-            .otherwise(ABSENT)
-        )
-
-    return F.transform(F.sequence(F.lit(1), F.lit(WEEKS)), code)
+def status_array(played: str, byes: str, listed: str) -> Column:
+    """Array of 18 codes from the week sets of a player, given as bit masks or NULL."""
+    return F.expr(
+        f"""transform(sequence(1, {WEEKS}), w -> CASE
+            WHEN shiftright({played}, w) & 1 = 1 THEN '{PLAYED}'
+            WHEN shiftright({byes}, w) & 1 = 1 THEN '{BYE}'
+            WHEN shiftright({listed}, w) & 1 = 1 THEN '{DNP}'
+            ELSE '{ABSENT}' END)"""
+    )
 
 
 def player_weeks(entries: DataFrame) -> DataFrame:
@@ -75,20 +59,19 @@ def player_weeks(entries: DataFrame) -> DataFrame:
     ``played`` lists ``{week, stats}`` of the weeks in action, unordered; ``weeklyStatus``
     holds 18 codes. Copies are removed on the map side, so the stats maps cross the
     network twice: once deduplicated, once (played weeks only) to their player. A group
-    has at most 18 entries. The three readers of the deduplicated entries share one
-    exchange.
+    has at most 18 entries, and sets of weeks are bits of an INT that merge with
+    ``bit_or``. The three readers of the deduplicated entries share one exchange.
     """
     unique = unique_entries(entries)
-    in_action = F.col("played")
     by_player = unique.groupBy("season", "player_id").agg(
-        F.collect_list(F.when(in_action, F.struct("week", "stats"))).alias("played"),
-        week_mask(F.when(in_action, F.col("week"))).alias("in_action"),
-        week_mask(F.col("week")).alias("listed"),
+        F.expr("collect_list(CASE WHEN played THEN struct(week, stats) END) AS played"),
+        F.expr("bit_or(CASE WHEN played THEN shiftleft(1, week) END) AS in_action"),
+        F.expr("bit_or(shiftleft(1, week)) AS listed"),
+    )
+    byes = bye_rows(unique).groupBy("season", "player_id").agg(F.expr("bit_or(shiftleft(1, week)) AS byes"))
+    return by_player.join(byes, ["season", "player_id"], "left").select(
+        "season", "player_id", "played", status_array("in_action", "byes", "listed").alias("weeklyStatus")
     )
-    byes = bye_rows(unique).groupBy("season", "player_id").agg(week_mask(F.col("week")).alias("byes"))
-    joined = by_player.join(byes, ["season", "player_id"], "left")
-    status = status_array(F.col("in_action"), F.col("byes"), F.col("listed"))
-    return joined.select("season", "player_id", "played", status.alias("weeklyStatus"))
 
 
 def weekly_status(entries: DataFrame) -> DataFrame:
@@ -98,9 +81,7 @@ def weekly_status(entries: DataFrame) -> DataFrame:
     """
     unique = unique_entries(entries)
     byes = bye_rows(unique).withColumn("bye", F.lit(True))
-    code = (
-        F.when(F.col("played"), PLAYED).when(F.col("bye"), BYE).otherwise(DNP)
-    )
-    return unique.join(byes, ENTRY_KEY, "left").select(
-        "season", "player_id", "week", code.alias("status")
+    return unique.join(byes, ENTRY_KEY, "left").selectExpr(
+        "season", "player_id", "week",
+        f"CASE WHEN played THEN '{PLAYED}' WHEN bye THEN '{BYE}' ELSE '{DNP}' END AS status",
     )

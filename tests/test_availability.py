@@ -18,8 +18,8 @@ CASES = [
 
 
 def evaluate(spark, texts):
-    df = spark.createDataFrame([(t,) for t in texts], "t STRING")
-    rows = df.select("t", availability(F.split("t", "")).alias("a")).collect()
+    df = spark.createDataFrame([(t,) for t in texts], "t STRING").withColumn("s", F.split("t", ""))
+    rows = df.select("t", availability("s").alias("a")).collect()
     return {r.t: r.a for r in rows}
 
 
@@ -48,7 +48,7 @@ def test_random_vectors_match_runs_found_by_pattern(spark):
 @pytest.mark.parametrize("season, n", [(2020, 17), (2021, 18)])
 def test_shown_weeks(spark, season, n):
     df = spark.createDataFrame([(season, ["P"] * 18)], "season INT, s ARRAY<STRING>")
-    assert len(df.select(shown_status(F.col("s"), F.col("season")).alias("x")).first().x) == n
+    assert len(df.select(shown_status("s", "season").alias("x")).first().x) == n
 
 
 def test_long_flag(spark):
