@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from seasonframe.constants import LISTING_MAX_PAGES, LISTING_PAGE_ROWS
 from seasonframe.functions import js_trim, position_code, prefix_int
-from seasonframe.operators.dedup import first_seen
 
 # Class names of a listing block and its fields.
 BLOCK_CLASS = "onePlayer"
@@ -68,14 +67,19 @@ def listing_rows(pages: DataFrame, keys: Sequence[str] = ("page",)) -> DataFrame
 
 
 def link_rows(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """``key, pos, href, label``: the same extraction for list items that hold one link."""
+    """``key, pos, href, label``: the same extraction for list items that hold one link.
+
+    One pass over the page finds the items; their fields are cut from the short matches.
+    """
     pattern = '<li><a href="([^"]*)">([^<]*)</a></li>'
-    found = F.arrays_zip(
-        F.regexp_extract_all("html", F.lit(pattern), F.lit(1)).alias("href"),
-        F.regexp_extract_all("html", F.lit(pattern), F.lit(2)).alias("label"),
-    )
-    rows = pages.select(key, F.posexplode(found).alias("pos", "item"))
-    return rows.select(key, "pos", "item.href", "item.label").filter("href <> ''")
+    items = F.regexp_extract_all("html", F.lit(pattern), F.lit(0))
+    rows = pages.select(key, F.posexplode(items).alias("pos", "item"))
+    return rows.select(
+        key,
+        "pos",
+        F.regexp_extract("item", pattern, 1).alias("href"),
+        F.regexp_extract("item", pattern, 2).alias("label"),
+    ).filter("href <> ''")
 
 
 def crawl_cutoff(
@@ -91,7 +95,7 @@ def crawl_cutoff(
     Pages count from 0. The last page taken is the first that is short, brings nothing
     new, or has no successor with rows. ``by`` names the columns that tell crawls apart.
     A missing key field counts as the text "null". First-seen and the page counts are
-    aggregates with a map-side combine; the page table joined back is per crawl and page.
+    aggregates with a map-side combine; what is joined back is one row per crawl.
     """
     if max_pages is not None:
         rows = rows.filter(F.col(page) < max_pages)
@@ -100,11 +104,23 @@ def crawl_cutoff(
         by = ("_crawl",)
         rows = rows.withColumn("_crawl", F.lit(0))
     key_cols = {f"_k{i}": F.coalesce(F.col(k).cast("string"), F.lit("null")) for i, k in enumerate(keys)}
-    keyed = rows.withColumns(key_cols)
-    firsts = first_seen(keyed, [*by, *key_cols], F.struct(page, "pos")).drop(*key_cols)
-
+    columns = rows.columns
+    # Both the row counts and the first-seen rows come from this aggregate. The filter
+    # drops nothing; it keeps both columns in either reader, so that they share one
+    # exchange and pages are scanned and parsed once.
+    per_key = (
+        rows.withColumns(key_cols)
+        .groupBy(*by, *key_cols, page)
+        .agg(F.min_by(F.struct(*columns), "pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        .filter("_first IS NOT NULL AND _n > 0")
+    )
+    firsts = (
+        per_key.groupBy(*by, *key_cols)
+        .agg(F.min_by("_first", page).alias("_first"))
+        .select("_first.*")
+    )
     per_page = [*by, page]
-    taken = rows.groupBy(*per_page).agg(F.count(F.lit(1)).alias("_rows"))
+    taken = per_key.groupBy(*per_page).agg(F.sum("_n").alias("_rows"))
     fresh = firsts.groupBy(*per_page).agg(F.count(F.lit(1)).alias("_new"))
     ends = (F.col("_rows") < page_rows) | F.col("_new").isNull()
     sealed = taken.join(fresh, per_page, "left").withColumn("_ends", ends)

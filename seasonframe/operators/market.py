@@ -52,20 +52,26 @@ def change_ratio(
     """``by, changed_n, prev_n, ratio``: updated rows without an equal old row, per old row.
 
     Names are matched to the first old row of that name, whatever its team. Updated rows
-    are first counted per distinct (name, value), so a name that fills a third of the
-    snapshot is one row by the time of the join.
+    are first counted per distinct (name, value), and the value is part of the join key:
+    a name that fills a third of the snapshot, with however many values, stays spread.
     """
     first_old = first_seen(
         baseline.select(by, "name", "ord", F.col(value).alias("old_value")), [by, "name"], "ord"
-    ).select(by, "name", "old_value", F.lit(True).alias("known"))
+    ).select(
+        F.col(by).alias("_by"), F.col("name").alias("_name"), "old_value", F.lit(True).alias("same")
+    )
     new_counts = updated.groupBy(by, "name", F.col(value).alias("new_value")).agg(
         F.count(F.lit(1)).alias("rows")
     )
-    same = F.col("known").isNotNull() & F.col("old_value").eqNullSafe(F.col("new_value"))
+    equal = (
+        (F.col(by) == F.col("_by"))
+        & (F.col("name") == F.col("_name"))
+        & F.col("new_value").eqNullSafe(F.col("old_value"))
+    )
     changed = (
-        new_counts.join(first_old, [by, "name"], "left")
+        new_counts.join(first_old, equal, "left")
         .groupBy(by)
-        .agg(F.sum(F.when(same, 0).otherwise(F.col("rows"))).alias("changed_n"))
+        .agg(F.sum(F.when(F.col("same"), 0).otherwise(F.col("rows"))).alias("changed_n"))
     )
     sizes = baseline.groupBy(by).agg(F.count(F.lit(1)).alias("prev_n"))
     return changed.join(sizes, by).select(

@@ -44,7 +44,8 @@ def apply_rules(
     """Outcomes of ``rules`` on every row of ``df``: failures, or all with ``keep_passed``.
 
     ``phase``, ``sort_key`` and the position of a rule say in which order a sequential
-    checker would have come across the failures.
+    checker would have come across the failures. The outer form of ``inline`` keeps the
+    optimizer from evaluating all rules a second time as a pushed-down filter.
     """
     outcomes = F.array(
         *[
@@ -69,8 +70,8 @@ def apply_rules(
         F.lit(phase).alias("phase"),
         F.coalesce(sort_key if sort_key is not None else F.lit(""), F.lit("")).alias("sort_key"),
         (key if key is not None else none).cast("string").alias("key"),
-        F.inline(outcomes),
-    )
+        F.inline_outer(outcomes),
+    ).filter("rule_id IS NOT NULL")
     cols = [
         "dataset", "partition", "rule_id", "severity", "phase", "sort_key", "rank", "key",
         "observed", "expected", "message",
