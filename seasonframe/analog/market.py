@@ -18,45 +18,50 @@ _PRINTS = f"""fp AS (
   FROM mk GROUP BY snapshot_date)"""
 
 
-@query(f"WITH {V.MARKET} SELECT snapshot_date, name, team, value, position, tier FROM mk")
+def _dated(df: DataFrame) -> DataFrame:
+    """Dates as text, which both engines render alike."""
+    return df.withColumn("snapshot_date", F.col("snapshot_date").cast("string"))
+
+
+@query(f"WITH {V.MARKET} SELECT CAST(snapshot_date AS VARCHAR) AS snapshot_date, name, team, value, position, tier FROM mk")
 def q_market(spark: SparkSession, sf: str) -> DataFrame:
     """Market rows."""
-    return V.market(spark, sf).drop("ord")
+    return _dated(V.market(spark, sf).drop("ord"))
 
 
 @query(f"""WITH {V.MARKET}
-SELECT snapshot_date, name, team, value, position FROM mk
+SELECT CAST(snapshot_date AS VARCHAR) AS snapshot_date, name, team, value, position FROM mk
 WHERE snapshot_date = (SELECT max(snapshot_date) FROM mk)""")
 def q_market_latest(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of the newest snapshot."""
-    return M.latest_snapshot(V.market(spark, sf)).drop("ord", "tier")
+    return _dated(M.latest_snapshot(V.market(spark, sf)).drop("ord", "tier"))
 
 
 @query(f"""WITH {V.MARKET}
-SELECT name, snapshot_date, value, lag(value) OVER w AS previous,
+SELECT name, CAST(snapshot_date AS VARCHAR) AS snapshot_date, value, lag(value) OVER w AS previous,
        CAST(value - lag(value) OVER w AS INTEGER) AS delta
 FROM mk WINDOW w AS (PARTITION BY name ORDER BY snapshot_date)""")
 def q_market_trend(spark: SparkSession, sf: str) -> DataFrame:
     """Value of a name against its snapshot before."""
-    return M.value_trend(V.market(spark, sf))
+    return _dated(M.value_trend(V.market(spark, sf)))
 
 
 @query(f"""WITH {V.MARKET}, {_PRINTS}
-SELECT snapshot_date, n, CAST(lo AS VARCHAR) AS hash_lo, CAST(hi AS VARCHAR) AS hash_hi FROM fp""")
+SELECT CAST(snapshot_date AS VARCHAR) AS snapshot_date, n, CAST(lo AS VARCHAR) AS hash_lo, CAST(hi AS VARCHAR) AS hash_hi FROM fp""")
 def q_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     """Content fingerprint per snapshot."""
-    return M.fingerprints(V.market(spark, sf)).select(
+    return _dated(M.fingerprints(V.market(spark, sf))).select(
         "snapshot_date", "n", F.col("hash_lo").cast("string"), F.col("hash_hi").cast("string")
     )
 
 
 @query(f"""WITH {V.MARKET}, {_PRINTS}
-SELECT snapshot_date, n IS DISTINCT FROM lag(n) OVER w OR lo IS DISTINCT FROM lag(lo) OVER w
+SELECT CAST(snapshot_date AS VARCHAR) AS snapshot_date, n IS DISTINCT FROM lag(n) OVER w OR lo IS DISTINCT FROM lag(lo) OVER w
                       OR hi IS DISTINCT FROM lag(hi) OVER w AS changed
 FROM fp WINDOW w AS (ORDER BY snapshot_date)""")
 def q_snapshot_changed(spark: SparkSession, sf: str) -> DataFrame:
     """Does a snapshot differ from the one before."""
-    return M.snapshot_changes(V.market(spark, sf))
+    return _dated(M.snapshot_changes(V.market(spark, sf)))
 
 
 @query(f"""WITH {V.MARKET},
@@ -66,13 +71,13 @@ r AS (SELECT n.snapshot_date, count(*) FILTER (o.name IS NULL OR o.tier <> n.tie
       FROM mk n JOIN cal USING (snapshot_date)
       LEFT JOIN mk o ON o.snapshot_date = cal.prev AND o.name = n.name
       WHERE cal.prev IS NOT NULL GROUP BY n.snapshot_date)
-SELECT r.snapshot_date, changed_n, count(*) AS prev_n, CAST(changed_n AS DOUBLE) / count(*) AS ratio,
+SELECT CAST(r.snapshot_date AS VARCHAR) AS snapshot_date, changed_n, count(*) AS prev_n, CAST(changed_n AS DOUBLE) / count(*) AS ratio,
        CAST(changed_n AS DOUBLE) / count(*) <= 0.70 AS passed
 FROM r JOIN cal USING (snapshot_date) JOIN mk o ON o.snapshot_date = cal.prev
 GROUP BY r.snapshot_date, changed_n""")
 def q_delta_guard(spark: SparkSession, sf: str) -> DataFrame:
     """Share of rows that changed since the snapshot before, and the guard's verdict."""
-    return M.guard_ratio(M.change_history(V.market(spark, sf), value="tier"))
+    return _dated(M.guard_ratio(M.change_history(V.market(spark, sf), value="tier")))
 
 
 @query("""WITH mkt AS (

@@ -14,11 +14,13 @@ def js_trim(text: Column) -> Column:
 
 
 def position_code(text: Column) -> Column:
-    """First position code that starts at a word boundary, upper-cased; NULL when absent.
+    """First position code at the start of a word, upper-cased; NULL when absent.
 
-    There is deliberately no boundary after the code, so ``kc RB1`` gives ``K``.
+    Only ASCII letters, digits and the underscore make words; Java's own word boundary
+    depends on its version there. There is deliberately no boundary after the code, so
+    ``kc RB1`` gives ``K``.
     """
-    found = F.regexp_extract(text, r"(?i)\b(QB|RB|WR|TE|K)", 1)
+    found = F.regexp_extract(text, r"(?i)(?<![A-Za-z0-9_])(QB|RB|WR|TE|K)", 1)
     return F.upper(F.nullif(found, F.lit("")))
 
 

@@ -28,8 +28,8 @@ def test_trim_takes_every_blank(spark):
 
 
 def test_position(spark):
-    values = ["WR1", "kc RB1", "RDP", "xQB", "te2", ""]
-    assert column(spark, values, "STRING", fn.position_code) == ["WR", "K", None, None, "TE", None]
+    values = ["WR1", "kc RB1", "RDP", "xQB", "te2", "éK"]
+    assert column(spark, values, "STRING", fn.position_code) == ["WR", "K", None, None, "TE", "K"]
 
 
 def test_normalized_name(spark):

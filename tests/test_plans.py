@@ -9,6 +9,7 @@ from seasonframe.constants import MARKET_SENTINELS
 from seasonframe.operators.catalog import manifest_upsert, supported
 from seasonframe.operators.quality import QualityError
 from seasonframe.plans.college import publish_college
+from seasonframe.plans.landing import land_weekly, landed_entries
 from seasonframe.plans.market import publish_snapshot
 from seasonframe.plans.overlay import remove_by_id, stored_overlay, upsert_entries
 from seasonframe.plans.season import publish_seasons
@@ -184,3 +185,26 @@ def test_stream(spark, tmp_path):
     run()
     assert spark.read.parquet(wh.market).select("snapshot_date").distinct().count() == 3
     assert spark.read.parquet(wh.market_checks).count() == 4
+
+
+def test_landing(spark, tmp_path):
+    wh, src = Warehouse(str(tmp_path / "wh")), tmp_path / "src"
+
+    def week(n, text):
+        target = src / "season=2024" / f"week={n}"
+        target.mkdir(parents=True, exist_ok=True)
+        (target / "entries.json").write_text(text)
+
+    def landed():
+        return {(r.week, r.player_id): r.stats for r in landed_entries(spark, wh).collect()}
+
+    week(1, '[{"player_id": "a", "team": "SF", "stats": {"gp": 1}}]')
+    week(2, '[{"player_id": "b", "team": "SF", "stats": {}}]')
+    land_weekly(spark, str(src), wh)
+    assert landed() == {(1, "a"): {"gp": 1.0}, (2, "b"): {}}
+    week(1, '[{"player_id": "c", "team": "SF", "stats": {"gp": 0}}]')
+    week(2, "error")
+    land_weekly(spark, str(src), wh)
+    assert landed() == {(1, "c"): {"gp": 0.0}, (2, "b"): {}}
+    plan = landed_entries(spark, wh).filter("season = 2024 AND week = 1")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(season" in plan
