@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _BLANK = r"[\s\p{Z}\x{FEFF}]+"
+_INK = r"[^\s\p{Z}\x{FEFF}]"
 
 
 def js_trim(text: Column) -> Column:
@@ -13,6 +14,11 @@ def js_trim(text: Column) -> Column:
     return F.regexp_replace(text, f"^{_BLANK}|{_BLANK}$", "")
 
 
+def is_blank(text: Column) -> Column:
+    """Nothing but Unicode blanks. Stops at the first other character, however long the text."""
+    return ~text.rlike(_INK)
+
+
 def position_code(text: Column) -> Column:
     """First position code at the start of a word, upper-cased; NULL when absent.
 

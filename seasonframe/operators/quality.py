@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seasonframe import constants as K
-from seasonframe.functions import document_key, js_trim
+from seasonframe.functions import document_key, is_blank
 from seasonframe.operators.injuries import injury_outcomes
 from seasonframe.operators.skew import salted_lookup
 
@@ -47,22 +47,21 @@ def apply_rules(
     checker would have come across the failures. The outer form of ``inline`` keeps the
     optimizer from evaluating all rules a second time as a pushed-down filter.
     """
-    outcomes = F.array(
-        *[
-            F.struct(
-                F.coalesce(rule.failed, F.lit(False)).alias("failed"),
-                F.lit(rule.rule_id).alias("rule_id"),
-                F.lit(rule.severity).alias("severity"),
-                F.lit(rank).alias("rank"),
-                rule.observed.cast("string").alias("observed"),
-                F.lit(rule.expected).alias("expected"),
-                rule.message.alias("message"),
-            )
-            for rank, rule in enumerate(rules)
-        ]
-    )
-    if not keep_passed:
-        outcomes = F.filter(outcomes, lambda o: o["failed"])
+    def outcome(rank: int, rule: Rule) -> Column:
+        failed = F.coalesce(rule.failed, F.lit(False))
+        facts = F.struct(
+            failed.alias("failed"),
+            F.lit(rule.rule_id).alias("rule_id"),
+            F.lit(rule.severity).alias("severity"),
+            F.lit(rank).alias("rank"),
+            rule.observed.cast("string").alias("observed"),
+            F.lit(rule.expected).alias("expected"),
+            rule.message.alias("message"),
+        )
+        # Texts are only put together for rows that fail.
+        return facts if keep_passed else F.when(failed, facts)
+
+    outcomes = F.array_compact(F.array(*[outcome(rank, rule) for rank, rule in enumerate(rules)]))
     none = F.lit(None).cast("string")
     rows = df.select(
         (dataset if isinstance(dataset, Column) else F.lit(dataset)).alias("dataset"),
@@ -475,7 +474,7 @@ def entry_rules(kind: str, current_year: int) -> list[Rule]:
         rules.append(Rule("DQ-35", owners != 1, owners, "1", _text("exactly one of playerId and team must be set")))
         rules.append(Rule("DQ-36", team.isNotNull() & bad_team, team, "team code", team_message))
         rules.append(Rule("DQ-38", year.isNotNull() & bad_year, year, span, year_message))
-        blank_body = F.coalesce(js_trim(body) == "", F.lit(True))
+        blank_body = F.coalesce(is_blank(body), F.lit(True))
         rules.append(Rule("DQ-39", blank_body, F.lit(None), "text", _text("body is blank")))
     return rules
 

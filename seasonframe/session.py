@@ -19,6 +19,10 @@ def local_session(app: str = "seasonframe", cpus: str | int = "*", **conf: str)
         .config("spark.sql.shuffle.partitions", os.environ.get("SHUFFLE_PARTITIONS", "8"))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Small shuffles stay spread over the local cores.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
+        # Recording the Python line of each column expression costs more than small queries.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
