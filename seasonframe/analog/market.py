@@ -211,7 +211,7 @@ def q_listing_blocks(spark: SparkSession, sf: str) -> DataFrame:
     )
     pages = (
         V.table(spark, sf, "customer")
-        .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .groupBy(F.floor(F.col("c_custkey") / 50).alias("page"))
         .agg(F.array_sort(F.collect_list(F.struct("c_custkey", block.alias("html")))).alias("blocks"))
         .select("page", F.concat(

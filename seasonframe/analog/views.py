@@ -167,7 +167,7 @@ def market(spark: SparkSession, sf: str) -> DataFrame:
     nation = table(spark, sf, "nation").select("n_nationkey", "n_name")
     return (
         yearly.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
             F.make_date("year", F.lit(1), F.lit(1)).alias("snapshot_date"),
             F.col("c_custkey").alias("ord"),
@@ -345,7 +345,7 @@ def staff(spark: SparkSession, sf: str) -> DataFrame:
     return (
         table(spark, sf, "orders")
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
             F.col("o_orderkey").cast("string").alias("id"),
             (F.year("o_orderdate") + 14).alias("year"),

@@ -22,8 +22,13 @@ def salted_lookup(
 
     Each key is split over ``salts`` partitions by a hash of the ``spread`` columns
     of the left side, and the right side is repeated once per salt. NULL keys of the
-    left side are spread the same way. Meant for aggregated right sides, where the
-    repetition costs next to nothing.
+    left side are spread the same way. Meant for narrow, aggregated right sides, where the
+    repetition is cheap.
+
+    The salt also makes Spark shuffle the right side anew, and a join of two fresh shuffles
+    is what adaptive execution can split: a partition that is still too large is cut
+    further at run time, which it is not when one side keeps the partitioning of its
+    aggregate.
     """
     salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
     repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
