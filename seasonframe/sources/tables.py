@@ -20,17 +20,14 @@ def read_or_empty(spark: SparkSession, path: str, schema: str, fmt: str = "parqu
         return spark.createDataFrame([], schema)
 
 
-def path_or_empty(spark: SparkSession, path: str, base: str | None = None) -> DataFrame:
+def path_or_empty(spark: SparkSession, path: str) -> DataFrame:
     """Whole text documents at ``path``: ``value, file`` plus partition columns.
 
     Documents of this data model are one JSON value per file, so a file is one row; it is
     parsed into typed rows right away and landed as Parquet by the publishing plans.
     """
-    reader = spark.read.option("wholetext", True)
-    if base is not None:
-        reader = reader.option("basePath", base)
     try:
-        df = reader.format("text").load(path)
+        df = spark.read.option("wholetext", True).format("text").load(path)
     except AnalysisException as error:
         if not _missing(error):
             raise
