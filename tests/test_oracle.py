@@ -15,7 +15,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+@pytest.mark.parametrize("name", sorted(entry_module.QUERIES))
 def test_query_matches_sql(spark, con, name):
     df = entry_module.queries()[name](spark, SF)
     assert compare(df, con, entry_module.oracle_sql()[name]) is None
