@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seasonframe.llm import decontamination, near_dedup
+from seasonframe.llm import decontamination, near_dedup, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,3 +67,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents alike by at least 85 % of their shingles of three words."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
+
+
+@query()
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that no window of twenty words repeats, for every document."""
+    found = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
