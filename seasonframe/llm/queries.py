@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasonframe.llm import decontamination, near_dedup, substring_dedup
+from seasonframe.llm import chat, decontamination, mixing, near_dedup, substring_dedup, tiff, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,3 +74,34 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that no window of twenty words repeats, for every document."""
     found = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uses of every document in a mixture that repeats no source more than four times."""
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
+def fold(number: int) -> Column:
+    """Whether a document's checksum has this remainder."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == number, F.lit(False))
+
+
+@query()
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learnt from the labels of four folds of five."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~fold(0)))
+    return toxicity.score(docs, model).select("doc_id", fold(0).alias("held_out"), "score", "predicted")
+
+
+@query()
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation with its roles repaired and rendered."""
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+@query()
+def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a TIFF file, written and read back."""
+    return tiff.text_media(table(spark, sf_dir, "documents"))
