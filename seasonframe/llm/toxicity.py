@@ -28,7 +28,7 @@ CHI_SQUARE = 15.1
 """Value that an irrelevant word exceeds once in 10,000."""
 
 PENALTY = 10.0
-RIDGE = 1e-3
+RIDGE = 1e-5
 STEPS = 400
 
 #: Terms of one kind can stand for each other.
