@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasonframe.llm import chat, decontamination, mixing, near_dedup, substring_dedup, tiff, toxicity
+from seasonframe.llm import (
+    chat,
+    decontamination,
+    line_dedup,
+    mixing,
+    near_dedup,
+    substring_dedup,
+    tiff,
+    toxicity,
+    url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -105,3 +115,38 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a TIFF file, written and read back."""
     return tiff.text_media(table(spark, sf_dir, "documents"))
+
+
+@query(
+    """
+WITH l AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
+),
+p AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS pos FROM l),
+w AS (
+  SELECT doc_id, pos, ls[pos] || chr(10) || ls[pos + 1] AS k FROM p WHERE pos < len(ls)
+),
+f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) AS nth FROM w),
+gone AS (SELECT DISTINCT doc_id, unnest([pos, pos + 1]) AS pos FROM f WHERE nth > 1),
+n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(ls[pos], chr(10) ORDER BY pos) AS t FROM p ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT l.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+  sha256(CASE WHEN text IS NULL THEN NULL ELSE coalesce(t, '') END) AS kept_sha256
+FROM l LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+)
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the later copies of runs of two lines or more."""
+    found = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+
+
+@query()
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url by the four rules, or else by the models."""
+    return url_filter.url_filter(table(spark, sf_dir, "pages"), RULES).drop("score")
