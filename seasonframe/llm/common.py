@@ -145,6 +145,9 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterat
             yield batch.slice(a, b - a), piece.to_pylist()
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
@@ -163,10 +166,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it again.
 
     Later steps read columns they need and start from the files, whatever executor is lost.
+    The shuffle files behind the table go once it is written.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seasonframe.llm import (
     chat,
     decontamination,
+    katz,
     line_dedup,
     mixing,
     near_dedup,
@@ -150,3 +151,10 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url by the four rules, or else by the models."""
     return url_filter.url_filter(table(spark, sf_dir, "pages"), RULES).drop("score")
+
+
+@query()
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents under a model of four folds of five."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (~fold(1)).alias("train"))
+    return katz.katz_scores(docs).withColumn("held_out", ~F.col("train")).drop("train")
