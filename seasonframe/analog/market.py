@@ -169,7 +169,7 @@ SELECT page_id, pos, href FROM first WHERE page_id <= (SELECT last_page FROM sto
 def q_listing_cutoff(spark: SparkSession, sf: str) -> DataFrame:
     """First-seen items up to the page where a crawl would have ended."""
     rows = listing.link_rows(V.table(spark, sf, "pages"))
-    kept = listing.crawl_cutoff(rows, ["href"], page="page_id", page_rows=4, max_pages=None)
+    kept = listing.crawl_cutoff(rows, ["href"], page="page_id", page_rows=4)
     return kept.select("page_id", "pos", "href")
 
 
@@ -177,11 +177,12 @@ def q_listing_cutoff(spark: SparkSession, sf: str) -> DataFrame:
 def q_listing_short_page(spark: SparkSession, sf: str) -> DataFrame:
     """The same with a limit that makes a page count as short earlier."""
     rows = listing.link_rows(V.table(spark, sf, "pages"))
-    kept = listing.crawl_cutoff(rows, ["href"], page="page_id", page_rows=5, max_pages=None)
+    kept = listing.crawl_cutoff(rows, ["href"], page="page_id", page_rows=5)
     return kept.select("page_id", "pos", "href")
 
 
-@query("""SELECT CAST(c_custkey // 50 AS BIGINT) AS page, c_name AS name,
+@query("""SELECT CAST(c_custkey // 50 AS BIGINT) AS page,
+       c_name || CASE c_custkey % 3 WHEN 0 THEN ' & Co''s' WHEN 1 THEN chr(160) || chr(8217) ELSE '' END AS name,
        CASE WHEN n_regionkey < 4 THEN n_name END AS team,
        CAST(floor(abs(c_acctbal)) AS INTEGER) AS value,
        CASE c_mktsegment WHEN 'BUILDING' THEN 'RB' WHEN 'MACHINERY' THEN 'QB' WHEN 'FURNITURE' THEN 'K' END AS position
@@ -190,8 +191,15 @@ def q_listing_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Listing blocks parsed back from pages that are rendered from the customers.
 
     A page holds 50 customers; a negative balance is rendered as an empty value, which
-    makes the row invalid.
+    makes the row invalid. Names hold entities, and class names come in all three quotings.
     """
+    kind = F.col("c_custkey") % 3
+    entities = F.when(kind == 0, " &amp; Co&#x27;s").when(kind == 1, "&nbsp;&rsquo;").otherwise("")
+    opening = (
+        F.when(kind == 0, '<div class="onePlayer row">')
+        .when(kind == 1, "<div id='x' class='row onePlayer'>")
+        .otherwise("<div class=onePlayer>")
+    )
     nation = V.table(spark, sf, "nation")
     segment = F.col("c_mktsegment")
     position = (
@@ -203,8 +211,9 @@ def q_listing_blocks(spark: SparkSession, sf: str) -> DataFrame:
     team = F.when(F.col("n_regionkey") < 4, F.col("n_name")).otherwise("")
     value = F.when(F.col("c_acctbal") >= 0, F.format_number(F.floor("c_acctbal"), 0)).otherwise("")
     block = F.concat(
-        F.lit('<div class="onePlayer row"><div class="player-name"><p><a href="#"> '),
-        F.col("c_name"),
+        opening,
+        F.lit('<div class="player-name"><p><a href="#"> '),
+        F.col("c_name"), entities,
         F.lit('</a></p><span class="player-team"> '), team,
         F.lit(' </span></div><div class="position-team"><p>'), position,
         F.lit('</p></div><div class="value"><p>'), value, F.lit("</p></div></div>"),

@@ -136,7 +136,7 @@ def _asked(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_ALL},
 hit AS (SELECT overlay, id FROM al WHERE id IN (SELECT 'e' || p_partkey FROM part)
         QUALIFY row_number() OVER (PARTITION BY id ORDER BY place) = 1)
-SELECT overlay, id, year FROM al ANTI JOIN hit USING (overlay, id)""")
+SELECT overlay, id, year FROM al WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.overlay = al.overlay AND hit.id = al.id)""")
 def q_remove(spark: SparkSession, sf: str) -> DataFrame:
     """Entries left after a batch of removals by id."""
     return O.remove_entries(_stacked(spark, sf), _asked(spark, sf)).select("overlay", "id", "year")

@@ -214,3 +214,78 @@ def q_dq_first_failure(spark: SparkSession, sf: str) -> DataFrame:
     """The failure a checker that stops at the first one would report."""
     rows = Q.overlay_entry_violations(V.staff(spark, sf), "coaching", 2013)
     return Q.first_failures(rows).select("dataset", "partition", "key", "rule_id")
+
+
+_CASE = "CAST(player_id AS BIGINT) % 7"
+
+
+@query(f"""WITH {V.TOTALS}, c AS (SELECT *, {_CASE} AS k FROM per), v AS (
+SELECT season, player_id, 'DQ-3' AS rule_id, '19' AS observed FROM c WHERE k = 0
+UNION ALL SELECT season, player_id, 'DQ-4', NULL FROM c WHERE k = 1
+UNION ALL SELECT season, player_id, 'DQ-5', CAST(games_played + 1 AS VARCHAR) FROM c WHERE k = 2
+UNION ALL SELECT season, player_id, 'DQ-6', CAST(bye_weeks + 1 AS VARCHAR) FROM c WHERE k = 3
+UNION ALL SELECT season, player_id, 'DQ-7', CAST(dnp_weeks + 1 AS VARCHAR) FROM c WHERE k = 4
+UNION ALL SELECT season, player_id, 'DQ-8', '0' FROM c WHERE k = 5 AND games_played > 0)
+SELECT CAST(season AS VARCHAR) AS season, player_id AS key, rule_id, observed FROM v""")
+def q_dq_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Record rules on totals with one fault each, which the player's number decides."""
+    kind = F.col("player_id").cast("long") % 7
+
+    def spoilt(name: str, case: int, value) -> dict:
+        return {name: F.when(kind == case, value).otherwise(F.col(name))}
+
+    totals = season_totals(V.entries(spark, sf))
+    types = dict(totals.dtypes)
+    totals = totals.withColumns(
+        spoilt("weeklyStatus", 0, F.array_append("weeklyStatus", "X"))
+        | spoilt("availability", 1, F.lit(None).cast(types["availability"]))
+        | spoilt("gamesPlayed", 2, F.col("gamesPlayed") + 1)
+        | spoilt("byeWeeks", 3, F.col("byeWeeks") + 1)
+        | spoilt("dnpWeeks", 4, F.col("dnpWeeks") + 1)
+        | spoilt("weeklyPoints", 5, F.create_map().cast(types["weeklyPoints"]))
+    )
+    return Q.season_record_rules(totals).select(F.col("partition").alias("season"), "key", "rule_id", "observed")
+
+
+@query(f"""WITH {V.TOTALS}
+SELECT DISTINCT CAST(season AS VARCHAR) AS season, 'DQ-11' AS rule_id, 'warning' AS severity FROM per
+WHERE season <> (SELECT max(season) FROM per)""")
+def q_dq_unwatched(spark: SparkSession, sf: str) -> DataFrame:
+    """Seasons without sentinels, when only the last one has any."""
+    totals = season_totals(V.entries(spark, sf))
+    last = totals.groupBy("season").agg(F.min("player_id").alias("player_id")).orderBy(F.desc("season")).limit(1)
+    listed = last.select("season", "player_id", F.lit(0).alias("min_games"), F.lit("x").alias("name"))
+    rows = Q.sentinel_rules(totals, listed).filter("rule_id = 'DQ-11'")
+    return rows.select(F.col("partition").alias("season"), "rule_id", "severity")
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS doc, CASE lang WHEN 'de' THEN 'DQ-12' ELSE 'DQ-16' END AS rule_id
+FROM documents WHERE lang IN ('de', 'fr')""")
+def q_dq_arrays(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that should be arrays: German ones are objects, French ones are cut off."""
+    lang, item = F.col("lang"), F.to_json(F.struct("text"))
+    value = F.when(lang == "de", item).when(lang == "fr", F.concat(F.lit("["), item)).otherwise(F.concat(F.lit("["), item, F.lit("]")))
+    docs = V.table(spark, sf, "documents").select("lang", F.col("doc_id").cast("string").alias("partition"), value.alias("value"))
+    college = Q.array_document_rules(docs.filter("lang <> 'fr'"), "college", "DQ-12")
+    market = Q.array_document_rules(docs.filter("lang <> 'de'"), "market", "DQ-16")
+    return college.unionByName(market).select(F.col("partition").alias("doc"), "rule_id")
+
+
+@query("""SELECT 'scheme' AS overlay, 'DQ-26' AS rule_id, count(*) AS n FROM documents WHERE doc_id % 5 = 0
+UNION ALL SELECT 'scheme', 'DQ-31', count(*) FROM documents WHERE lang = 'fr'
+UNION ALL SELECT 'notes', 'DQ-39', count(*) FROM documents WHERE lang = 'es'""")
+def q_dq_content(spark: SparkSession, sf: str) -> DataFrame:
+    """Overlay entries without id, content or body."""
+    docs = V.table(spark, sf, "documents")
+    number = F.col("doc_id").cast("string")
+    scheme = docs.select(
+        F.when(F.col("doc_id") % 5 != 0, number).alias("id"), F.lit(2020).alias("year"), F.lit("SF").alias("team"),
+        F.when(F.col("lang") == "fr", "").otherwise("4-3").alias("offense"),
+        *[F.lit(None).cast("string").alias(c) for c in ("defense", "tempo")],
+    )
+    notes = docs.select(
+        number.alias("id"), F.lit("p").alias("playerId"), F.lit(None).cast("string").alias("team"), F.lit(None).cast("int").alias("year"),
+        F.when(F.col("lang") == "es", "\t \n").otherwise(F.col("text")).alias("body"),
+    )
+    found = Q.overlay_entry_violations(scheme, "scheme", 2026).unionByName(Q.overlay_entry_violations(notes, "notes", 2026))
+    return found.groupBy(F.col("partition").alias("overlay"), "rule_id").agg(F.count(F.lit(1)).alias("n"))

@@ -10,7 +10,7 @@ from seasonframe.analog.registry import query
 from seasonframe.functions import season_of_date
 from seasonframe.operators import availability as A
 from seasonframe.operators import dedup, diff, injuries, totals, weekly
-from seasonframe.operators.catalog import manifest_lookup
+from seasonframe.plans.season import season_plan
 
 KEY = ["season", "player_id"]
 
@@ -240,30 +240,25 @@ def q_diff_text(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {V.ORDER_DIFF},
 n AS (SELECT season, count(new_points) AS new_n, count(old_points) AS old_n,
              bool_and(status = 'unchanged') AS identical FROM dif GROUP BY season),
-man AS (SELECT 'totals/' || year(l_shipdate) AS path,
+man AS (SELECT 'season_totals/' || year(l_shipdate) AS path,
                year(l_shipdate) >= (SELECT max(year(o_orderdate) - CASE WHEN month(o_orderdate) <= 2 THEN 1 ELSE 0 END)
                                     FROM orders) AS in_progress
         FROM lineitem GROUP BY year(l_shipdate))
-SELECT season, old_n, new_n,
+SELECT season, nullif(old_n, 0) AS old_n, new_n,
        CASE WHEN old_n = 0 THEN 'write' WHEN identical THEN 'skip'
             WHEN in_progress = false THEN 'refuse' ELSE 'write' END AS action
-FROM n LEFT JOIN man ON man.path = 'totals/' || season""")
+FROM n LEFT JOIN man ON man.path = 'season_totals/' || season WHERE new_n > 0""")
 def q_publish_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """Publish decision per season; the manifest lists the ship years."""
-    per_season = _diff(spark, sf).groupBy("season").agg(
-        F.count("old_points").alias("old_n"),
-        F.count("new_points").alias("new_n"),
-        F.bool_and(F.col("status") == "unchanged").alias("identical"),
-    )
+    """The season plan's decisions; the manifest lists the ship years."""
     current = V.table(spark, sf, "orders").agg(F.max(season_of_date(F.col("o_orderdate")))).scalar()
     shipped = V.table(spark, sf, "lineitem").select(F.year("l_shipdate").alias("y")).distinct()
     manifest = shipped.select(
-        F.concat(F.lit("totals/"), F.col("y").cast("string")).alias("path"),
+        F.concat(F.lit("season_totals/"), F.col("y").cast("string")).alias("path"),
         (F.col("y") >= current).alias("inProgress"),
     )
-    keyed = per_season.withColumn("path", F.concat(F.lit("totals/"), F.col("season").cast("string")))
-    action = diff.publish_action(F.col("old_n") > 0, F.col("identical"), F.col("inProgress"))
-    return manifest_lookup(keyed, manifest).select("season", "old_n", "new_n", action.alias("action"))
+    new = V.order_totals(spark, sf)
+    plan = season_plan(new, V.carried_over(new), manifest, current_season=0)
+    return plan.select("season", "old_n", "new_n", "action")
 
 
 @query("""WITH n AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS season, o_custkey AS part, count(*) AS n

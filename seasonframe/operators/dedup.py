@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,14 +10,19 @@ from pyspark.sql import functions as F
 
 
 def first_seen(df: DataFrame, keys: Sequence[str], order: str | Column) -> DataFrame:
-    """Keep the row with the least ``order`` per key.
+    """Keep the row with the least ``order`` per key; orders of one key differ.
 
-    An aggregate rather than a window: copies of a key are already dropped on the map
-    side, so a key that holds a third of the input reaches the reducer as a few rows.
+    The least order is found on narrow rows by a hash aggregate with a map-side combine.
+    Whole rows are picked by key and order together, which keeps hot keys spread.
     """
-    rest = [c for c in df.columns if c not in keys]
-    first = F.min_by(F.struct(*rest), order).alias("_first")
-    return df.groupBy(*keys).agg(first).select(*keys, "_first.*").select(df.columns)
+    columns = df.columns
+    if isinstance(order, Column):
+        df, order = df.withColumn("_order", order), "_order"
+    both = [*keys, order]
+    least = df.groupBy(*keys).agg(F.min(order).alias(order))
+    # Rows without an order come first of all if no row of their key has one.
+    same = functools.reduce(Column.__and__, [df[c].eqNullSafe(least[c]) for c in both])
+    return df.join(least, same, "left_semi").select(columns)
 
 
 def later_copies(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

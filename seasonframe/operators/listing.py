@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seasonframe.constants import LISTING_MAX_PAGES, LISTING_PAGE_ROWS
+from seasonframe.constants import LISTING_PAGE_ROWS
 from seasonframe.functions import js_trim, position_code, prefix_int
 
 # Class names of a listing block and its fields.
@@ -20,16 +20,38 @@ POSITION_CLASS = "position-team"
 _TAG = r"<[^>]*>"
 
 
+# Named entities of listing texts.
+ENTITIES = {
+    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "ndash": "\u2013", "mdash": "\u2014",
+    "lsquo": "\u2018", "rsquo": "\u2019", "eacute": "\u00e9", "ntilde": "\u00f1", "uuml": "\u00fc", "amp": "&",
+}
+_ENTITY = r"&(#[xX]?[0-9a-fA-F]{1,6}|[a-z]{2,6});"
+
+
 def _has_class(name: str) -> str:
-    return rf'class\s*=\s*"(?:[^"]*\s)?{name}(?:\s[^"]*)?"'
+    """A class attribute with the name, in double, single or no quotes."""
+    quoted = "|".join(f"{q}(?:[^{q}]*\\s)?{name}(?:\\s[^{q}]*)?{q}" for q in ('"', "'"))
+    return rf"class\s*=\s*(?:{quoted}|{name}(?=[\s>]))"
+
+
+def _character(entity: Column) -> Column:
+    """The text that an entity such as ``amp``, ``#39`` or ``#x27`` stands for."""
+    number = F.when(entity.rlike("^#[xX]"), F.conv(F.substring(entity, 3, 8), 16, 10)).otherwise(F.substring(entity, 2, 8))
+    code = F.when(entity.startswith("#"), number.try_cast("int"))
+    wide = F.concat(F.lpad(F.hex(code), 8, "0"))
+    named = F.element_at(F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair]), entity)
+    # 32-bit code points; numbers that are none stay as they are written.
+    sign = F.when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), F.decode(F.unhex(wide), "UTF-32"))
+    return F.coalesce(sign, named, F.concat(F.lit("&"), entity, F.lit(";")))
 
 
 def _plain(html: Column) -> Column:
-    """Visible text of a fragment: tags dropped, the five basic entities resolved."""
+    """Visible text of a fragment: tags dropped, entities resolved, each once."""
     text = F.regexp_replace(html, _TAG, "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return js_trim(text)
+    rest = F.split(text, _ENTITY)
+    found = F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(1))
+    whole = F.array_join(F.zip_with(rest, found, lambda a, e: F.concat(a, F.when(e.isNull(), "").otherwise(_character(e)))), "")
+    return js_trim(F.when(F.size(found) == 0, text).otherwise(whole))
 
 
 def split_blocks(html: Column, block_class: str = BLOCK_CLASS) -> Column:
@@ -88,13 +110,14 @@ def crawl_cutoff(
     page: str = "page",
     by: Sequence[str] = (),
     page_rows: int = LISTING_PAGE_ROWS,
-    max_pages: int | None = LISTING_MAX_PAGES,
+    max_pages: int | None = None,
 ) -> DataFrame:
     """First-seen rows of the pages a sequential reader would have taken.
 
     Pages count from 0. The last page taken is the first that is short, brings nothing
     new, or has no successor with rows. ``by`` names the columns that tell crawls apart.
-    A missing key field counts as the text "null". First-seen and the page counts are
+    ``max_pages`` is for readers that fetch: landed pages are all used. A missing key field
+    counts as the text "null". First-seen and the page counts are
     aggregates with a map-side combine; what is joined back is one row per crawl.
     """
     if max_pages is not None:

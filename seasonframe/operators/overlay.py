@@ -167,13 +167,10 @@ def upsert_plan(
     """
     by_key = F.coalesce(natural_key(kind), F.col("id"))
     asked = proposed.select("ord", "id", by_key.alias("key"), entry_json(kind).alias("entry_json"))
-    # A slot is unique in a valid overlay; the least id makes the pick stable otherwise.
-    stored = (
-        _slots(existing, proposed, kind)
-        .groupBy("key")
-        .agg(F.min(F.struct(F.col("id").alias("old_id"), entry_json(kind).alias("old_json"))).alias("e"))
-        .select("key", "e.*")
-    )
+    # The first stored entry of a slot counts, by document order where it is known.
+    entry = F.struct(F.col("id").alias("old_id"), entry_json(kind).alias("old_json"))
+    stored = _slots(existing, proposed, kind).groupBy("key").agg(F.min_by(entry, _place(existing)).alias("e"))
+    stored = stored.select("key", "e.*")
     firsts = asked.groupBy("key").agg(
         F.min_by(F.struct("ord", "id", "entry_json"), "ord").alias("first")
     )
@@ -211,18 +208,36 @@ def upsert_result(
     """The overlay after the batch: untouched entries plus the final entry of each slot.
 
     Per slot the last proposal wins with force, the first one without, and only when
-    nothing is stored. A replaced entry is replaced as a whole, so its id may change.
+    nothing is stored. A replaced entry is replaced as a whole, so its id may change. Of
+    several stored entries of a slot the first is replaced and the others stay. With
+    ``ord`` in ``existing`` the result has it too: replaced entries keep their place, new
+    ones follow the last.
     """
     entry = F.struct(*OVERLAY_ENTRIES[kind])
-    old = _slots(existing, proposed, kind).select("key", entry.alias("_old"))
+    place = _place(existing)
+    slots = _slots(existing, proposed, kind).select("key", entry.alias("_old"), place.alias("_at"))
+    first = slots.groupBy("key").agg(F.min("_at").alias("_at")).withColumn("_first", F.lit(True))
+    slots = slots.join(first, ["key", "_at"], "left")
+    old = slots.filter("_first").drop("_first")
+    others = slots.filter("_first IS NULL").select("_old.*", *([F.col("_at").alias("ord")] if "ord" in existing.columns else []))
     pick = F.max_by if force else F.min_by
     new = (
         proposed.withColumn("key", F.coalesce(natural_key(kind), F.col("id")))
         .groupBy("key")
-        .agg(pick(entry, "ord").alias("_new"))
+        .agg(pick(entry, "ord").alias("_new"), F.min("ord").alias("_asked"))
     )
     order = ["_new", "_old"] if force else ["_old", "_new"]
-    return old.join(new, "key", "full").select(F.coalesce(*order).alias("_entry")).select("_entry.*")
+    both = old.join(new, "key", "full")
+    if "ord" not in existing.columns:
+        return both.select(F.coalesce(*order).alias("_entry")).select("_entry.*").unionByName(others)
+    top = existing.agg(F.coalesce(F.max("ord"), F.lit(-1))).scalar()
+    at = F.coalesce(F.col("_at"), top + 1 + F.col("_asked"))
+    return both.select(F.coalesce(*order).alias("_entry"), at.alias("ord")).select("_entry.*", "ord").unionByName(others)
+
+
+def _place(entries: DataFrame) -> Column:
+    """Document order of stored entries, their id where it is not known."""
+    return F.col("ord") if "ord" in entries.columns else F.col("id")
 
 
 def all_overlays(overlays: Mapping[str, DataFrame]) -> DataFrame:

@@ -8,6 +8,7 @@ input row carries an array of rule outcomes that is filtered and unfolded in pla
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -96,7 +97,8 @@ class QualityError(ValueError):
 
 def enforce(violations: DataFrame) -> None:
     """Raise on the first error. Brings a single row to the driver."""
-    order = ["dataset", "partition"]
+    types = F.array(*[F.lit(k) for k in K.OVERLAY_TYPES])
+    order = ["dataset", F.array_position(types, F.col("partition")), "partition"]
     worst = first_failures(violations).orderBy(*order).limit(1).collect()
     if worst:
         raise QualityError(f"{worst[0].dataset} {worst[0].partition}: {worst[0].message}")
@@ -181,9 +183,11 @@ def season_record_rules(totals: DataFrame) -> DataFrame:
 def sentinel_rules(totals: DataFrame, sentinels: DataFrame, keep_passed: bool = False) -> DataFrame:
     """Known regulars are present with enough games (DQ-9, DQ-10); seasons without any warn (DQ-11).
 
-    ``sentinels`` is ``season, player_id, min_games, name``: a short hand-kept list. The
-    totals side is only narrowed to the listed ids.
+    ``sentinels`` is ``season, player_id, min_games, name``: a short hand-kept list, looked
+    through in the order of ``place`` if it has that column, else of the ids. The totals
+    side is only narrowed to the listed ids.
     """
+    place = F.lpad(F.col("place").cast("string"), 9, "0") if "place" in sentinels.columns else F.col("player_id")
     listed = sentinels.withColumn("_season", F.col("season"))
     games = totals.select("season", "player_id", "gamesPlayed")
     seasons = totals.select("season").distinct()
@@ -197,7 +201,7 @@ def sentinel_rules(totals: DataFrame, sentinels: DataFrame, keep_passed: bool =
     ]
     checked = apply_rules(
         found, "season", F.col("season"), rules, phase=3, key=F.col("player_id"),
-        sort_key=F.col("player_id"), keep_passed=keep_passed,
+        sort_key=place, keep_passed=keep_passed,
     )
     silent = seasons.join(sentinels.select("season").distinct(), "season", "left_anti")
     warning = Rule("DQ-11", F.lit(True), F.lit(0), "sentinels", _text("no sentinels for this season"), "warning")
@@ -217,7 +221,8 @@ def season_rules(
 
 def default_sentinels(spark) -> DataFrame:
     return spark.createDataFrame(
-        [tuple(row) for row in K.SEASON_SENTINELS], "season INT, player_id STRING, min_games INT, name STRING"
+        [(*row, place) for place, row in enumerate(K.SEASON_SENTINELS)],
+        "season INT, player_id STRING, min_games INT, name STRING, place INT",
     )
 
 
@@ -270,11 +275,16 @@ def college_rules(
 
 
 def market_size_rules(
-    market: DataFrame, *, rows: tuple[int, int] = K.MARKET_ROWS, keep_passed: bool = False
+    market: DataFrame,
+    *,
+    rows: tuple[int, int] = K.MARKET_ROWS,
+    dates: DataFrame | None = None,
+    keep_passed: bool = False,
 ) -> DataFrame:
-    """Plausible snapshot size (DQ-17)."""
+    """Plausible snapshot size (DQ-17); ``dates`` without any row count 0."""
     low, high = rows
     counts = market.groupBy("snapshot_date").agg(F.count(F.lit(1)).alias("n"))
+    counts = _with_expected(counts, dates, "snapshot_date")
     n = F.col("n")
     rule = Rule("DQ-17", (n < low) | (n > high), n, f"{low}..{high}", _text(n, f" rows, expected {low} to {high}"))
     return apply_rules(counts, "market", F.col("snapshot_date"), [rule], phase=1, keep_passed=keep_passed)
@@ -393,10 +403,10 @@ def market_delta_rules(ratios: DataFrame, *, max_ratio: float = K.MARKET_MAX_CHA
     return apply_rules(ratios, "market", F.col("snapshot_date"), [rule], phase=5, keep_passed=keep_passed)
 
 
-def market_rules(market: DataFrame) -> DataFrame:
+def market_rules(market: DataFrame, dates: DataFrame | None = None) -> DataFrame:
     """DQ-17 to DQ-20 with the fixed limits."""
     return (
-        market_size_rules(market)
+        market_size_rules(market, dates=dates)
         .unionByName(market_position_rules(market))
         .unionByName(market_range_rules(market))
         .unionByName(market_sentinel_rules(market))
@@ -432,8 +442,17 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def _duplicate_rules(entries: DataFrame, kind: str, keys: Sequence[str], rule_id: str, phase: int) -> DataFrame:
     key = F.concat_ws("-", *[F.col(k).cast("string") for k in keys])
     rule = Rule(rule_id, F.lit(True), F.col("n"), "1", _text("duplicate ", ", ".join(keys), ": ", key))
+    repeated = duplicate_keys(entries, keys)
+    met = key
+    if "ord" in entries.columns:  # a reader in document order fails at the second entry of a key
+        firsts = entries.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first")).filter("n > 1")
+        firsts = firsts.withColumnsRenamed({k: f"_{k}" for k in keys})
+        same = functools.reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+        later = entries.join(firsts, same).filter("ord > first")
+        repeated = later.groupBy(*keys, "n").agg(F.min("ord").alias("second"))
+        met = F.lpad(F.col("second").cast("string"), 19, "0")
     return apply_rules(
-        duplicate_keys(entries, keys), "overlay", F.lit(kind), [rule], phase=phase, key=key, sort_key=key
+        repeated, "overlay", F.lit(kind), [rule], phase=phase, key=key, sort_key=met
     )
 
 
@@ -509,6 +528,8 @@ def overlay_entry_violations(
     order = F.lpad(F.col("ord").cast("string"), 19, "0") if "ord" in df.columns else F.col("id")
     common = {"phase": 3, "key": F.col("id"), "sort_key": order}
     out = apply_rules(df, "overlay", F.lit(kind), entry_rules(kind, current_year), **common)
+    if kind == "notes":  # the player is looked up before the year is checked
+        out = out.withColumn("rank", F.when(F.col("rank") >= 4, F.col("rank") + 1).otherwise(F.col("rank")))
 
     def more(rows: DataFrame, rule: Rule, rank: int) -> DataFrame:
         found = apply_rules(rows, "overlay", F.lit(kind), [rule], **common)
@@ -522,16 +543,15 @@ def overlay_entry_violations(
     if totals is not None and kind == "injuries":
         starts = F.array_join(F.transform("starts", lambda s: F.concat(F.lit("w"), s.cast("string"))), ", ")
         outcome = F.col("outcome")
-        known = injury_outcomes(df, totals)
-        out = more(
-            known,
+        looked_up = [
             Rule("DQ-33", outcome == "no_season", outcome, "season row",
-                 _text("no season totals for player ", player, " in ", F.col("year"))), 6)
-        out = more(
-            known,
+                 _text("no season totals for player ", player, " in ", F.col("year"))),
             Rule("DQ-34", outcome == "no_segment", F.col("segmentStartWeek"), "segment",
                  _text("no absence segment starts at week ", F.col("segmentStartWeek"), ", available: ",
-                       F.coalesce(F.nullif(starts, F.lit("")), F.lit("none")))), 7)
+                       F.coalesce(F.nullif(starts, F.lit("")), F.lit("none")))),
+        ]
+        found = apply_rules(injury_outcomes(df, totals), "overlay", F.lit(kind), looked_up, **common)
+        out = out.unionByName(found.withColumn("rank", F.col("rank") + 6))
     return out
 
 

@@ -19,14 +19,23 @@ def usable_entries(raw: DataFrame) -> DataFrame:
     )
 
 
+def dropped_weeks(raw: DataFrame) -> DataFrame:
+    """``season, week, n``: entries that ``usable_entries`` leaves out for their week."""
+    outside = F.col("week").isNull() | ~F.col("week").between(1, WEEKS)
+    return raw.filter(outside).groupBy("season", "week").agg(F.count(F.lit(1)).alias("n"))
+
+
 def flag_is_one(stats: str, key: str) -> str:
     """Strictly one: 0, NULL, a missing key and any other number are all false."""
     return f"coalesce({stats}['{key}'] = 1, false)"
 
 
 def unique_entries(entries: DataFrame) -> DataFrame:
-    """First-seen entry per season, week and player, with the ``played`` flag."""
-    kept = first_seen(usable_entries(entries), ENTRY_KEY, "ord")
+    """First-seen entry per season, week and player, with the ``played`` flag.
+
+    Rows leave for their player, where the fold then needs no further exchange.
+    """
+    kept = first_seen(usable_entries(entries), ENTRY_KEY, "ord").repartition("season", "player_id")
     return kept.withColumn("played", F.expr(flag_is_one("stats", "gp")))
 
 
@@ -57,10 +66,9 @@ def player_weeks(entries: DataFrame) -> DataFrame:
     """``season, player_id, played, weeklyStatus``.
 
     ``played`` lists ``{week, stats}`` of the weeks in action, unordered; ``weeklyStatus``
-    holds 18 codes. Copies are removed on the map side, so the stats maps cross the
-    network twice: once deduplicated, once (played weeks only) to their player. A group
-    has at most 18 entries, and sets of weeks are bits of an INT that merge with
-    ``bit_or``. The three readers of the deduplicated entries share one exchange.
+    holds 18 codes. The stats maps cross the network twice: to their first-seen order, and
+    deduplicated to their player. A group has at most 18 entries, and sets of weeks are bits of an INT that merge with
+    ``bit_or``. The other readers take narrow columns only.
     """
     unique = unique_entries(entries)
     by_player = unique.groupBy("season", "player_id").agg(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +58,7 @@ def publish_college(
     spark: SparkSession,
     rows: DataFrame,
     wh: Warehouse,
+    partitions: Sequence[tuple[str, int]],
     run_time: datetime,
     *,
     force: bool = False,
@@ -64,8 +66,13 @@ def publish_college(
     compare: str = "count",
     **limits: int,
 ) -> DataFrame:
-    """Check, compare and write; returns the plan that was carried out."""
-    enforce(college_rules(rows, **limits))
+    """Check, compare and write; returns the plan that was carried out.
+
+    ``partitions`` are the categories and seasons the run is for; one without rows fails.
+    """
+    rows = materialize(rows)
+    expected = spark.createDataFrame([(f"{c}/{s}",) for c, s in partitions], "partition STRING")
+    enforce(college_rules(rows, partitions=expected, **limits))
     stored = read_or_empty(spark, wh.college, S.COLLEGE_STATS)
     plan = materialize(
         college_plan(rows, stored, stored_manifest(spark, wh), force=force, compare=compare)
@@ -75,9 +82,8 @@ def publish_college(
     chosen = plan.filter("action = 'write'")
     if chosen.isEmpty():
         return plan
-    parts = chosen.select(*PART)  # one row per category and season
     write_partitions(
-        rows.join(F.broadcast(parts), PART, "left_semi"), wh.college, PART, ["playerId", "statType"]
+        rows.join(chosen.select(*PART), PART, "left_semi"), wh.college, PART, ["playerId", "statType"]
     )
     written = chosen.select("path", F.col("new_n").alias("recordCount"), F.lit(False).alias("inProgress"))
     index(spark, wh, written, run_time)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seasonframe import schemas as S
 from seasonframe.plans.warehouse import Warehouse, write_partitions
-from seasonframe.sources.documents import read_weekly
+from seasonframe.sources.documents import read_college, read_season_totals, read_snapshots, read_weekly
 from seasonframe.sources.tables import read_or_empty
 
 
@@ -18,3 +18,17 @@ def land_weekly(spark: SparkSession, landing: str, wh: Warehouse) -> None:
 def landed_entries(spark: SparkSession, wh: Warehouse) -> DataFrame:
     """Weekly entries; a filter on season or week prunes partitions."""
     return read_or_empty(spark, wh.path("entries"), S.WEEKLY_ENTRIES)
+
+
+def land_college(spark: SparkSession, landing: str, wh: Warehouse) -> None:
+    write_partitions(read_college(spark, landing), wh.path("landed", "college"), ["category", "season"], ["playerId", "statType"])
+
+
+def land_snapshots(spark: SparkSession, landing: str, wh: Warehouse) -> None:
+    """Snapshots whose file name tells no date are left out."""
+    rows = read_snapshots(spark, landing).filter("snapshot_date IS NOT NULL")
+    write_partitions(rows, wh.path("landed", "market"), ["snapshot_date"], ["ord"])
+
+
+def land_season_totals(spark: SparkSession, landing: str, wh: Warehouse) -> None:
+    write_partitions(read_season_totals(spark, landing), wh.path("landed", "season_totals"), ["season"], ["player_id"])

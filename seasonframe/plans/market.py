@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from seasonframe import constants as K
 from seasonframe import schemas as S
-from seasonframe.operators.market import change_ratio, fingerprints, latest_snapshot
+from seasonframe.operators.market import change_ratio, fingerprints
 from seasonframe.operators.quality import enforce, market_delta_rules, market_rules
-from seasonframe.plans.warehouse import Warehouse, index, write_partitions
+from seasonframe.plans.warehouse import Warehouse, index, materialize, write_partitions
 from seasonframe.sources.tables import read_or_empty
 
 
@@ -25,6 +25,12 @@ def age_in_days(run_time: datetime, day: date) -> float:
     return (run_time - datetime.combine(day, time(), UTC)) / timedelta(days=1)
 
 
+def _day_rows(spark: SparkSession, rows: list[tuple], schema: str, path: str) -> None:
+    """Replace the days that ``rows`` are about."""
+    table = spark.createDataFrame(rows, schema).coalesce(1)
+    table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(path)
+
+
 def publish_snapshot(
     spark: SparkSession,
     rows: DataFrame,
@@ -34,26 +40,32 @@ def publish_snapshot(
     *,
     dry_run: bool = False,
 ) -> str:
-    """Check, guard, compare with the last snapshot and write if different.
+    """Check, guard, compare with what is stored and write if different.
 
     ``rows`` has ``ord, name, team, value, position``. Returns ``write`` or ``skip``; a
-    failed rule raises. A second run on the same day replaces that day. Each run leaves a
-    check marker, also when nothing changed.
+    failed rule raises, and no rows at all fail the size rule. The baseline is the newest
+    stored day before the snapshot's own, so late and repeated snapshots meet the same one
+    as in their turn. A day that is stored already is compared with itself. Each run
+    leaves a check marker, which replaces the day's last one.
     """
     day = F.lit(snapshot_date)
-    rows = rows.withColumn("snapshot_date", day).select(
-        "snapshot_date", "ord", "name", "team", "value", "position"
+    rows = materialize(
+        rows.withColumn("snapshot_date", day).select("snapshot_date", "ord", "name", "team", "value", "position")
     )
-    enforce(market_rules(rows))
-    previous = latest_snapshot(read_or_empty(spark, wh.market, S.MARKET_VALUES))
-    last_day = previous.agg(F.max("snapshot_date")).first()[0]
-    identical = last_day is not None and _print_of(previous) == _print_of(rows)
-    ran_before = not read_or_empty(spark, wh.market_checks, S.MARKET_CHECKS).isEmpty()
+    enforce(market_rules(rows, spark.range(1).select(day.alias("snapshot_date"))))
+    stored = read_or_empty(spark, wh.market, S.MARKET_VALUES)
+    # Days are partitions, so only one of each kind is read.
+    before = stored.filter(F.col("snapshot_date") < day).agg(F.max("snapshot_date")).first()[0]
+    own = stored.filter(F.col("snapshot_date") == day)
+    previous = stored.filter(F.col("snapshot_date") == F.lit(before)) if before else stored.limit(0)
+    mine, again = _print_of(rows), _print_of(own)
+    identical = mine == again if again else before is not None and mine == _print_of(previous)
+    checks = read_or_empty(spark, wh.market_checks, S.MARKET_CHECKS)
+    ran_before = not checks.filter(F.col("snapshot_date") < day).isEmpty()
     if dry_run:
         return "skip" if identical else "write"
-    if ran_before and last_day is not None and age_in_days(run_time, last_day) <= K.MARKET_MAX_AGE_DAYS:
-        baseline = previous.withColumn("snapshot_date", day)
-        enforce(market_delta_rules(change_ratio(baseline, rows)))
+    if ran_before and before is not None and 0 <= age_in_days(run_time, before) <= K.MARKET_MAX_AGE_DAYS:
+        enforce(market_delta_rules(change_ratio(previous.withColumn("snapshot_date", day), rows)))
 
     path = f"market/snapshot-{snapshot_date.isoformat()}"
     if not identical:
@@ -62,6 +74,12 @@ def publish_snapshot(
             F.count(F.lit(1)).alias("recordCount"), F.lit(True).alias("inProgress")
         )
         index(spark, wh, written, run_time)
-    marker = [(run_time, identical, None if identical else path)]
-    spark.createDataFrame(marker, S.MARKET_CHECKS).write.mode("append").parquet(wh.market_checks)
+    same = identical and again is None
+    marker = [(run_time, same, None if same else path, snapshot_date)]
+    _day_rows(spark, marker, S.MARKET_CHECKS, wh.market_checks)
     return "skip" if identical else "write"
+
+
+def reject_snapshot(spark: SparkSession, wh: Warehouse, file: str, day: date, message: str, run_time: datetime) -> None:
+    """Note that a file was refused; a repeated run replaces the day's note."""
+    _day_rows(spark, [(file, message, run_time, day)], S.MARKET_REJECTS, wh.market_rejects)

@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 from seasonframe import schemas as S
 from seasonframe.constants import OVERLAY_TYPES
 from seasonframe.operators import overlay as O
-from seasonframe.operators.quality import enforce, overlay_entry_violations
+from seasonframe.operators.quality import enforce, overlay_entry_violations, overlay_violations
 from seasonframe.plans.warehouse import (
     Warehouse, index, materialize, read_version, write_version,
 )
+from seasonframe.sources.tables import read_or_empty
 
 
 def stored_overlay(spark: SparkSession, wh: Warehouse, kind: str) -> DataFrame:
     """Entries of a type; none before its first write."""
-    return read_version(spark, wh.overlay(kind), S.ddl(S.OVERLAY_ENTRIES[kind]))
+    return read_version(spark, wh.overlay(kind), "ord LONG, " + S.ddl(S.OVERLAY_ENTRIES[kind]))
 
 
 def _write(spark: SparkSession, wh: Warehouse, kind: str, entries: DataFrame, run_time: datetime) -> DataFrame:
@@ -47,8 +48,11 @@ def upsert_entries(
     """Add a batch of entries given by their fields and ``ord``; returns the action per entry.
 
     Invalid proposals raise before anything is written. Conflicts keep the stored entry.
+    Injuries are looked up in the stored season totals unless ``totals`` gives others.
     """
     proposed = O.with_ids(fields, kind)
+    if totals is None:
+        totals = read_or_empty(spark, wh.season_totals, S.SEASON_TOTALS)
     enforce(
         overlay_entry_violations(proposed, kind, current_year, totals=totals, players=players)
     )
@@ -61,6 +65,20 @@ def upsert_entries(
     return plan
 
 
+def validate_overlays(
+    spark: SparkSession,
+    wh: Warehouse,
+    *,
+    current_year: int,
+    players: DataFrame | None = None,
+    documents: DataFrame | None = None,
+) -> DataFrame:
+    """All rules on all stored overlays, as rows; ``enforce`` raises on the first error."""
+    overlays = {kind: stored_overlay(spark, wh, kind) for kind in OVERLAY_TYPES}
+    totals = read_or_empty(spark, wh.season_totals, S.SEASON_TOTALS)
+    return overlay_violations(overlays, current_year, totals=totals, players=players, documents=documents)
+
+
 def remove_by_id(
     spark: SparkSession, ids: DataFrame, wh: Warehouse, run_time: datetime, *, dry_run: bool = False
 ) -> DataFrame:

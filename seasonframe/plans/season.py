@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from seasonframe import constants as K
 from seasonframe import schemas as S
 from seasonframe.operators.catalog import manifest_lookup
 from seasonframe.operators.diff import diff_counts, publish_action, season_diff
-from seasonframe.operators.quality import enforce, season_rules
+from seasonframe.operators.quality import default_sentinels, enforce, season_rules
 from seasonframe.operators.totals import season_totals
 from seasonframe.plans.warehouse import (
     Warehouse, index, materialize, stored_manifest, write_partitions,
@@ -52,6 +53,7 @@ def publish_seasons(
     spark: SparkSession,
     entries: DataFrame,
     wh: Warehouse,
+    seasons: Sequence[int],
     current_season: int,
     run_time: datetime,
     *,
@@ -63,14 +65,17 @@ def publish_seasons(
 ) -> DataFrame:
     """Build, check, compare and write; returns the plan that was carried out.
 
-    A failed check raises before anything is written. Completed seasons that would
+    ``seasons`` are the ones the run is for; one without any player fails. The regulars
+    looked for are the fixed list unless ``sentinels`` gives another. A failed check raises before anything is written. Completed seasons that would
     change are refused without ``force``. Totals are materialized once because the
     checks, the comparison and the write all read them; the plan is materialized
     before the write because the write changes what it was made from. A run that dies
     half-way can simply be repeated: unchanged seasons are skipped.
     """
     totals = materialize(season_totals(entries))
-    enforce(season_rules(totals, sentinels, **limits))
+    expected = spark.createDataFrame([(s,) for s in seasons], "season INT")
+    listed = default_sentinels(spark) if sentinels is None else sentinels
+    enforce(season_rules(totals, listed, expected, **limits))
     stored = read_or_empty(spark, wh.season_totals, S.SEASON_TOTALS)
     plan = materialize(
         season_plan(
@@ -82,9 +87,8 @@ def publish_seasons(
     chosen = plan.filter("action = 'write'")
     if chosen.isEmpty():
         return plan
-    seasons = chosen.select("season")  # one row per season
     write_partitions(
-        totals.join(F.broadcast(seasons), "season", "left_semi"),
+        totals.join(chosen.select("season"), "season", "left_semi"),
         wh.season_totals, ["season"], ["player_id"],
     )
     written = chosen.select("path", F.col("new_n").alias("recordCount"), "inProgress")

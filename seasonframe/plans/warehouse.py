@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
@@ -55,16 +54,15 @@ class Warehouse:
 def materialize(df: DataFrame) -> DataFrame:
     """Compute once and cut the lineage with a checkpoint on shared storage.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only a local
-    session without one gets a temporary folder; a cluster must name it.
+    The folder is the one the session names in ``spark.checkpoint.dir``.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
+        if not named:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(named)
     return df.checkpoint(eager=True)
 
 
@@ -86,32 +84,35 @@ def write_partitions(df: DataFrame, path: str, by: Sequence[str], sort: Sequence
 
 
 def export_json(df: DataFrame, path: str, by: Sequence[str], sort: Sequence[str]) -> None:
-    """JSON lines per partition in a fixed order; NULL fields are left out."""
+    """JSON lines per partition in a fixed order; NULL fields are left out.
+
+    Only partitions that ``df`` has rows for are replaced.
+    """
     keys = [*by, *sort]
     ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    ordered.write.mode("overwrite").partitionBy(*by).json(path)
-
-
-def millis(run_time: datetime) -> int:
-    return int(run_time.timestamp() * 1000)
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).json(path)
 
 
 def read_version(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The newest version of a table that is always replaced as a whole."""
-    table = read_or_empty(spark, path, f"{schema}, live BOOLEAN, version LONG")
+    table = read_or_empty(spark, path, f"{schema}, live BOOLEAN, writtenAt TIMESTAMP, version LONG")
     newest = table.agg(F.max("version")).scalar()
-    return table.filter((F.col("version") == newest) & F.col("live")).drop("live", "version")
+    return table.filter((F.col("version") == newest) & F.col("live")).drop("live", "writtenAt", "version")
 
 
 def write_version(df: DataFrame, path: str, run_time: datetime) -> None:
-    """Add a version. Older ones stay, so a lost run leaves the last good one in place.
+    """Add a version, numbered after the newest one whatever the run times are.
 
-    One row that is not live goes along, so that a version without entries exists too.
+    Older ones stay, so a lost run leaves the last good one in place. One row that is not
+    live goes along, so that a version without entries exists too.
     """
-    marker = df.sparkSession.range(1).select(F.lit(False).alias("live"))
+    spark = df.sparkSession
+    newest = read_or_empty(spark, path, "version LONG").agg(F.max("version")).first()[0]
+    marker = spark.range(1).select(F.lit(False).alias("live"))
     rows = df.withColumn("live", F.lit(True)).unionByName(marker, allowMissingColumns=True)
     (
-        rows.withColumn("version", F.lit(millis(run_time)))
+        rows.withColumn("writtenAt", F.lit(run_time).cast("timestamp"))
+        .withColumn("version", F.lit((newest or 0) + 1).cast("long"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("version")

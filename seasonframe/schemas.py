@@ -47,7 +47,8 @@ MARKET_ROW = "name STRING, team STRING, value INT, position STRING"
 MARKET_VALUES = (
     "snapshot_date DATE, ord LONG, name STRING, team STRING, value INT, position STRING"
 )
-MARKET_CHECKS = "checkedAt TIMESTAMP, identical BOOLEAN, file STRING"
+MARKET_CHECKS = "checkedAt TIMESTAMP, identical BOOLEAN, file STRING, snapshot_date DATE"
+MARKET_REJECTS = "file STRING, message STRING, rejectedAt TIMESTAMP, snapshot_date DATE"
 
 OVERLAY_ENTRIES = {
     "coaching": {

@@ -7,6 +7,7 @@ settings below except UTC, which dated data needs.
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -24,6 +25,7 @@ def local_session(app: str = "seasonframe", cpus: str | int = "*", **conf: str)
         # Recording the Python line of each column expression costs more than small queries.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("DRIVER_MEMORY", "8g"))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seasonframe import schemas as S
 from seasonframe.constants import OVERLAY_TYPES
-from seasonframe.functions import snapshot_date_of
+from seasonframe.functions import season_of_date, snapshot_date_of
 from seasonframe.operators.weekly import usable_entries
 from seasonframe.sources.tables import path_or_empty
 
@@ -37,15 +37,19 @@ def array_documents(docs: DataFrame, row: str) -> DataFrame:
 
 
 def read_weekly(spark: SparkSession, path: str) -> DataFrame:
-    """Weekly entries from ``path/season=Y/week=W/<one file>``, each an array of entries.
+    """Weekly entries from ``path/season=Y/week=W/<files>``, each an array of entries.
 
-    A week that is missing or does not parse gives no rows; it is not an error.
+    A week that is missing or does not parse gives no rows; it is not an error. Files of
+    one week follow each other by name, so that ``ord`` tells all its entries apart.
     """
     docs = path_or_empty(spark, path)
     if "season" not in docs.columns:
         return spark.createDataFrame([], S.WEEKLY_ENTRIES)
-    docs = docs.select("value", F.col("season").cast("int"), F.col("week").cast("int"))
-    rows = array_documents(docs, S.WEEKLY_DOCUMENT)
+    docs = docs.select("value", "file", F.col("season").cast("int"), F.col("week").cast("int"))
+    by_name = Window.partitionBy("season", "week").orderBy("file")
+    names = docs.select("season", "week", "file").withColumn("nth", F.row_number().over(by_name) - 1)
+    rows = array_documents(docs, S.WEEKLY_DOCUMENT).join(names, ["season", "week", "file"])
+    rows = rows.withColumn("ord", F.col("nth").cast("long") * (1 << 32) + F.col("ord"))
     return usable_entries(rows).select("season", "week", "ord", "player_id", "team", "stats")
 
 
@@ -107,6 +111,19 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return docs.select(F.explode(files).alias("path", "record")).select("path", "record.*")
 
 
+def manifest_header(spark: SparkSession, path: str) -> DataFrame:
+    """When the manifest was made and what it was exported from: ``generatedAt, exportedAt``."""
+    docs = spark.read.option("wholetext", True).text(path)
+    header = F.from_json("value", "generatedAt TIMESTAMP, exportedAt TIMESTAMP")
+    return docs.select(header.alias("h")).select("h.*")
+
+
+def current_season(spark: SparkSession, path: str, today: Column) -> DataFrame:
+    """One row, ``current_season``: as the state document says, else by the date."""
+    state = read_state(spark, path).agg(F.max("current_season").alias("said"))
+    return state.select(F.coalesce("said", season_of_date(today)).alias("current_season"))
+
+
 def read_state(spark: SparkSession, path: str) -> DataFrame:
     """Season state with ``current_season`` as a number; a one-row table."""
     docs = path_or_empty(spark, path)

@@ -93,7 +93,7 @@ def crawl(spark, pages, **kwargs):
     return Counter((r.page, r.name, r.team) for r in kept.collect())
 
 
-def walk(pages, page_rows, max_pages=10):
+def walk(pages, page_rows, max_pages=99):
     """Reads the pages one by one; a missing team and the text "null" are the same key."""
     seen, kept = set(), []
     for number in range(max_pages):
@@ -118,6 +118,7 @@ def test_crawl_end(spark):
     doubled = {0: [("a", None), ("a", "null"), ("a", "X"), ("b", None)], 1: full[1]}
     for pages in (full, short, repeat, gap, headless, doubled):
         assert crawl(spark, pages, page_rows=4) == walk(pages, 4)
+        assert crawl(spark, pages, page_rows=4, max_pages=10) == walk(pages, 4, 10)
 
 
 def test_crawls_are_kept_apart(spark):
@@ -130,3 +131,26 @@ def test_crawls_are_kept_apart(spark):
 def test_item_links(spark):
     df = spark.createDataFrame([(1, '<ul><li><a href="/a">A</a></li><li><a href="">B</a></li><li><a href="/c">C</a></li></ul>')], "page_id INT, html STRING")
     assert [tuple(r) for r in listing.link_rows(df).orderBy("pos").collect()] == [(1, 0, "/a", "A"), (1, 2, "/c", "C")]
+
+
+def test_listing_quotes_and_entities(spark):
+    def block(cls, name):
+        return (
+            f"<div {cls}><div class='player-name'><p><a href=x>{name}</a></p></div><div class=\"player-team\">SF</div>"
+            "<div class=value><p>1,234</p></div><p class='position-team x'>RB1</p></div>"
+        )
+
+    html = (
+        block("class='onePlayer a'", "D&#x27;Andre &amp;amp; Swift&nbsp;")
+        + block("class=onePlayer", "Ren&eacute; &#8217;x&bogus;&#xD800;")
+        + block('id="1" class="a onePlayer"', "Plain &lt;&#39;&gt;")
+        + block("class=onePlayerX", "Other class")
+    )
+    rows = listing.listing_rows(spark.createDataFrame([(0, html)], "page INT, html STRING"))
+    assert [r.name for r in rows.orderBy("pos").collect()] == ["D'Andre &amp; Swift", "René ’x&bogus;&#xD800;", "Plain <'>"]
+
+
+def test_landed_pages_are_not_capped(spark):
+    rows = spark.createDataFrame([(p, 0, f"n{p}", None) for p in range(15)], "page INT, pos INT, name STRING, team STRING")
+    assert listing.crawl_cutoff(rows, page_rows=1).count() == 15
+    assert listing.crawl_cutoff(rows, page_rows=1, max_pages=10).count() == 10

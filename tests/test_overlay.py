@@ -151,3 +151,32 @@ def test_injuries(spark):
     assert got == {"i1": "match", "i2": "no_segment", "i3": "no_segment", "i4": "no_season"}
     weeks = {r.week: r.id for r in I.injury_weeks(inj, t).collect()}
     assert weeks == {2: "i1", 3: "i1", 4: None, 6: None}
+
+
+def test_forced_upsert_replaces_the_first_of_several(spark):
+    base = {"playerId": "1", "year": 2024, "segmentStartWeek": 2}
+    old = entries(spark, "injuries", [
+        {**base, "id": "z", "type": "knee", "ord": 0}, {**base, "id": "a", "type": "hip", "ord": 1},
+        {**base, "id": "k", "segmentStartWeek": 9, "ord": 2},
+    ])
+    new = O.with_ids(entries(spark, "injuries", [{**base, "type": "toe", "ord": 0}, {**base, "year": 2020, "type": "arm", "ord": 1}]), "injuries")
+    out = {r.ord: r.type for r in O.upsert_result(old, new, "injuries", force=True).collect()}
+    assert out == {0: "toe", 1: "hip", 2: None, 4: "arm"}
+    plan = {r.ord: (r.action, r.existing_id) for r in O.upsert_plan(old, new, "injuries", force=True).collect()}
+    assert plan == {0: ("updated", "z"), 1: ("added", None)}
+    kept = {r.ord: r.type for r in O.upsert_result(old, new, "injuries").collect()}
+    assert kept == {0: "knee", 1: "hip", 2: None, 4: "arm"}
+    # Without document order the least id counts as the first.
+    bare = O.upsert_result(old.drop("ord"), new, "injuries", force=True)
+    assert sorted(r.type or "" for r in bare.collect()) == ["", "arm", "knee", "toe"]
+
+
+def test_all_injuries_of_a_segment(spark):
+    totals = spark.createDataFrame(
+        [(2024, "1", ([(2, 4, 3)],)), (2024, "2", ([(5, 5, 1)],))],
+        "season INT, player_id STRING, availability STRUCT<absenceSegments: ARRAY<STRUCT<start: INT, end: INT, length: INT>>>",
+    )
+    base = {"playerId": "1", "year": 2024, "segmentStartWeek": 2}
+    noted = entries(spark, "injuries", [{**base, "id": "a", "segmentEndWeek": 3}, {**base, "id": "b"}, {**base, "id": "c", "segmentEndWeek": 1}])
+    out = sorted((r.player_id, r.week, r.id) for r in I.injury_weeks(noted, totals).collect())
+    assert out == [("1", 2, "a"), ("1", 2, "b"), ("1", 3, "a"), ("1", 3, "b"), ("1", 4, "b"), ("2", 5, None)]

@@ -11,8 +11,8 @@ from seasonframe.operators.quality import QualityError
 from seasonframe.plans.college import publish_college
 from seasonframe.plans.landing import land_weekly, landed_entries
 from seasonframe.plans.market import publish_snapshot
-from seasonframe.plans.overlay import remove_by_id, stored_overlay, upsert_entries
-from seasonframe.plans.season import publish_seasons
+from seasonframe.plans.overlay import remove_by_id, stored_overlay, upsert_entries, validate_overlays
+from seasonframe.plans.season import publish_seasons as publish
 from seasonframe.plans.warehouse import Warehouse, export_json, stored_manifest
 from seasonframe.streaming.snapshots import publish_stream
 
@@ -36,6 +36,11 @@ def actions(plan):
 def test_seasons(spark, tmp_path):
     wh = Warehouse(str(tmp_path))
     first = entries(spark, {"a": 1.0, "b": 2.0})
+    none = spark.createDataFrame([], "season INT, player_id STRING, min_games INT, name STRING")
+
+    def publish_seasons(spark, entries, wh, current, run_time, **kw):
+        return publish(spark, entries, wh, [2024, 2025], current, run_time, **{"sentinels": none, **kw})
+
     assert actions(publish_seasons(spark, first, wh, 2025, hours(0), dry_run=True, **SMALL)) == {2024: "write", 2025: "write"}
     assert stored_manifest(spark, wh).count() == 0
     assert actions(publish_seasons(spark, first, wh, 2025, hours(0), **SMALL)) == {2024: "write", 2025: "write"}
@@ -50,6 +55,10 @@ def test_seasons(spark, tmp_path):
     assert manifest == {"season_totals/2024": (2, False, 2), "season_totals/2025": (2, True, 2)}
     with pytest.raises(QualityError):
         publish_seasons(spark, second, wh, 2025, hours(4), min_players=3)
+    with pytest.raises(QualityError, match="only 0 players"):
+        publish(spark, second, wh, [2023, 2024], 2025, hours(4), sentinels=none, **SMALL)
+    with pytest.raises(QualityError, match="sentinel Lamar Jackson"):
+        publish(spark, second, wh, [2024], 2025, hours(4), **SMALL)
 
 
 def test_college(spark, tmp_path):
@@ -64,7 +73,7 @@ def test_college(spark, tmp_path):
         )
 
     def run(df, hour, **kw):
-        return publish_college(spark, df, wh, hours(hour), **limits, **kw).first().action
+        return publish_college(spark, df, wh, [("passing", 2023)], hours(hour), **limits, **kw).first().action
 
     assert run(rows(3), 0) == "write"
     assert run(rows(3, "2"), 1) == "skip"  # content is not looked at
@@ -74,6 +83,8 @@ def test_college(spark, tmp_path):
     assert run(rows(4), 5, force=True) == "write"
     assert spark.read.parquet(wh.college).count() == 4
     assert stored_manifest(spark, wh).first().recordCount == 4
+    with pytest.raises(QualityError, match="rushing/2023: 0 rows"):
+        publish_college(spark, rows(3), wh, [("passing", 2023), ("rushing", 2023)], hours(6), **limits)
 
 
 def market_rows(changed=0, n=300):
@@ -105,7 +116,9 @@ def test_market(spark, tmp_path):
     assert run([{**r, "value": r["value"] - 5} for r in market_rows()], 11) == "write"  # baseline is too old
     assert run(market_rows(), 11, dry_run=True) == "write"
     checks = sorted((r.checkedAt.day, r.identical) for r in spark.read.parquet(wh.market_checks).collect())
-    assert checks == [(1, False), (2, False), (2, True), (11, False)]
+    assert checks == [(1, False), (2, False), (11, False)]
+    with pytest.raises(QualityError, match="0 rows"):
+        run([], 12)
     dates = {r[0].day for r in spark.read.parquet(wh.market).select("snapshot_date").distinct().collect()}
     assert dates == {1, 2, 11}
     assert stored_manifest(spark, wh).filter("inProgress").count() == 3
@@ -186,6 +199,48 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(wh.market).select("snapshot_date").distinct().count() == 3
     assert spark.read.parquet(wh.market_checks).count() == 4
 
+    # The same files once more, from a lost checkpoint, and files without rows.
+    def state():
+        tables = (wh.market, wh.market_checks, wh.market_rejects)
+        rows = [sorted(map(tuple, spark.read.parquet(t).collect()), key=str) for t in tables]
+        return rows, sorted((r.path, r.recordCount) for r in stored_manifest(spark, wh).collect())
+
+    before = state()
+    query = publish_stream(spark, str(landing), wh, str(tmp_path / "cp2"))
+    query.awaitTermination(120)
+    assert query.exception() is None and state() == before
+    (landing / "snapshot-2026-05-07.json").write_text("{}")
+    (landing / "snapshot-2026-05-08.json").write_text("[]")
+    run()
+    refused = {r.file: r.message for r in spark.read.parquet(wh.market_rejects).collect()}
+    assert "not an array" in refused["snapshot-2026-05-07.json"] and "0 rows" in refused["snapshot-2026-05-08.json"]
+
+
+def test_versions_count_up_whatever_the_run_times(spark, tmp_path):
+    wh = Warehouse(str(tmp_path))
+    for day, hour in ((1, 5000), (2, 10)):
+        publish_snapshot(spark, snapshot(spark, market_rows(changed=day)), wh, date(2026, 6, day), hours(hour))
+    assert stored_manifest(spark, wh).count() == 2
+
+
+def test_exports_replace_only_their_partitions(spark, tmp_path):
+    df = entries(spark, {"a": 1.0})
+    for season in (2024, 2025):
+        export_json(df.filter(F.col("season") == season), str(tmp_path), ["season"], ["player_id"])
+    assert sorted(p.name for p in tmp_path.glob("season=*")) == ["season=2024", "season=2025"]
+
+
+def test_injury_of_nobody_is_refused_and_all_overlays_are_checked(spark, tmp_path):
+    wh = Warehouse(str(tmp_path))
+    row = [(0, "p1", 2025, 3)]
+    df = spark.createDataFrame(row, "ord LONG, playerId STRING, year INT, segmentStartWeek INT")
+    with pytest.raises(QualityError, match="no season totals for player p1"):
+        upsert_entries(spark, "injuries", df, wh, hours(0), current_year=2026)
+    assert validate_overlays(spark, wh, current_year=2026).isEmpty()
+    coach = spark.createDataFrame([(0, 2026, "SF", "HC", "A")], "ord LONG, year INT, team STRING, role STRING, name STRING")
+    upsert_entries(spark, "coaching", coach, wh, hours(0), current_year=2026)
+    assert {r.rule_id for r in validate_overlays(spark, wh, current_year=2020).collect()} == {"DQ-29"}
+
 
 def test_landing(spark, tmp_path):
     wh, src = Warehouse(str(tmp_path / "wh")), tmp_path / "src"

@@ -238,3 +238,27 @@ def test_unknown_players_with_a_hot_id(spark):
     known = spark.range(1000).select(F.col("id").cast("string").alias("player_id"))
     expected = sum(1 for i in range(3000) if i % 3 == 0 or i >= 1000)
     assert Q.unknown_players(refs, known).count() == expected
+
+
+def test_first_failure_follows_the_document(spark):
+    twice = [{**COACH, "role": r, "name": n} for r, n in (("OC", "A"), ("DC", "B"), ("DC", "C"), ("OC", "D"))]
+    out = Q.overlay_violations({"coaching": entries(spark, "coaching", *[{**x, "id": f"i{k}"} for k, x in enumerate(twice)])}, 2025)
+    assert Q.first_failures(out).first().key == "2024-SF-DC"
+    note = entries(spark, "notes", {"playerId": "nobody", "year": 1990, "body": "x"})
+    players = spark.createDataFrame([("1",)], "player_id STRING")
+    assert Q.first_failures(Q.overlay_violations({"notes": note}, 2025, players=players)).first().rule_id == "DQ-37"
+    bad = {k: entries(spark, k, {"year": 1990, "team": "SF", "tempo": "x"} if k == "scheme" else {"playerId": "1", "year": 1990, "segmentStartWeek": 1}) for k in ("scheme", "injuries")}
+    with pytest.raises(Q.QualityError, match="overlay scheme"):
+        Q.enforce(Q.overlay_violations(bad, 2025))
+
+
+def test_sentinels_in_list_order(spark):
+    totals = spark.createDataFrame([(2024, "x", 17)], "season INT, player_id STRING, gamesPlayed INT")
+    out = Q.sentinel_rules(totals, Q.default_sentinels(spark))
+    assert Q.first_failures(out).first().key == "6783"
+
+
+def test_empty_snapshot_fails(spark):
+    none = spark.createDataFrame([], "snapshot_date DATE, ord LONG, name STRING, team STRING, value INT, position STRING")
+    day = spark.sql("SELECT DATE'2026-05-01' AS snapshot_date")
+    assert [(r.rule_id, r.observed) for r in Q.market_rules(none, day).collect()] == [("DQ-17", "0")]

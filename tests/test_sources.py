@@ -116,3 +116,24 @@ def test_league_documents(spark, tmp_path):
     assert R.read_users(spark, str(tmp_path / "users.json")).first().metadata == {"team_name": "T"}
     draft = R.read_drafts(spark, str(tmp_path / "drafts.json")).first()
     assert draft.draft_order == {"u": 1} and draft.created_at.year == 2025
+
+
+def test_files_of_a_week_follow_each_other(spark, tmp_path):
+    for name in ("b", "a"):
+        put(tmp_path, f"season=2024/week=1/{name}.json", [{"player_id": name + str(k), "team": "SF", "stats": {}} for k in range(2)])
+    df = R.read_weekly(spark, str(tmp_path))
+    assert [r.player_id for r in df.orderBy("ord").collect()] == ["a0", "a1", "b0", "b1"]
+
+
+def test_current_season_and_manifest_header(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from seasonframe.sources.documents import current_season, manifest_header
+
+    today = F.lit(date(2026, 2, 1))
+    assert current_season(spark, str(tmp_path / "none.json"), today).first()[0] == 2025
+    put(tmp_path, "state.json", {"season": "2023", "week": 1})
+    assert current_season(spark, str(tmp_path / "state.json"), today).first()[0] == 2023
+    put(tmp_path, "manifest.json", {"generatedAt": "2026-05-01T00:00:00Z", "files": {}})
+    header = manifest_header(spark, str(tmp_path / "manifest.json")).first()
+    assert header.generatedAt.day == 1 and header.exportedAt is None
