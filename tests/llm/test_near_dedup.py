@@ -39,7 +39,8 @@ def family(size, edits, seed):
     return out
 
 
-def test_groups_equal_brute_force(spark):
+def test_groups_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(N, "GROUP_DOCS", 8)  # families of several parts
     texts = dict(edge.TEXTS)
     # Families whose members lie on both sides of the threshold, and copies of them.
     for k, t in enumerate([*family(40, 8, 3), *family(30, 16, 4), *family(20, 30, 5), *family(5, 0, 6)]):
