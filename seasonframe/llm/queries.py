@@ -41,6 +41,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = r"'[^\x20\x09-\x0D]+'"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 
@@ -74,13 +75,47 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("spans")
 
 
-@query()
+@query(
+    f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("text")}, {_WORD}) AS w FROM documents),
+s AS (
+  SELECT doc_id, unnest(CASE
+    WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle
+  FROM d
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y USING (shingle) WHERE x.doc_id < y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)
+),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT b, c FROM reach JOIN ways ON a = doc_id)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(c) AS component_id, min(c) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN reach USING (doc_id) GROUP BY d.doc_id"""
+)
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents alike by at least 85 % of their shingles of three words."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
 
-@query()
+@query(
+    f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents),
+v AS (
+  SELECT doc_id, p, array_to_string(list_slice(w, p, p + 19), ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM d WHERE len(w) >= 20)
+),
+c AS (SELECT doc_id, p FROM v QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, p) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS q FROM c),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(w[q], ' ' ORDER BY q) AS t
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS q FROM d) ANTI JOIN gone USING (doc_id, q) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+)
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that no window of twenty words repeats, for every document."""
     found = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
@@ -147,7 +182,46 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 
-@query()
+def _url_sql() -> str:
+    """The rules and both models in SQL, with the operator's parameters."""
+    cases = {"given": "", "rule": ""}
+    for kind, text in sorted(RULES, key=lambda r: -len(r[1])):
+        name, _, rest = text.partition("/")
+        fits = f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{rest}') THEN "
+        cases["given"] += f"{fits}'{kind}' "
+        cases["rule"] += f"{fits}'{text}' "
+    n, smooth = url_filter.ORDER + 1, url_filter.SMOOTHING
+    tables, joins, p = "", "", {c: f"{1 / len(url_filter.ALPHABET)!r}::DOUBLE" for c in "ab"}
+    for k in range(1, n + 1):
+        tables += f"e{k} AS (SELECT right(gram, {k}) AS g, sum(a) AS a, sum(b) AS b FROM c GROUP BY 1),\n"
+        tables += f"t{k} AS (SELECT substr(gram, {n + 1 - k}, {k - 1}) AS g, sum(a) AS a, sum(b) AS b FROM c GROUP BY 1),\n"
+        joins += f" JOIN e{k} ON e{k}.g = right(gram, {k}) JOIN t{k} ON t{k}.g = substr(gram, {n + 1 - k}, {k - 1})"
+        p = {x: f"(e{k}.{x} + {smooth} * {p[x]}) / (t{k}.{x} + {smooth})" for x in "ab"}
+    return f"""
+WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+u AS (SELECT *, CASE {cases["given"]} END AS given, CASE {cases["rule"]} END AS rule,
+             '^^^' || regexp_replace(translate(lower(host || path), '123456789', '000000000'), '[^a-z0./_:-]', '?', 'g') || '$' AS s
+      FROM h),
+g AS (SELECT page_id, given, substr(s, i, {n}) AS gram FROM (SELECT *, unnest(range(1, length(s) - {n - 2})) AS i FROM u)),
+c AS (SELECT gram, count(*) FILTER (given = 'allow' AND page_id % 5 <> 0) AS a,
+             count(*) FILTER (given = 'block' AND page_id % 5 <> 0) AS b FROM g GROUP BY gram),
+{tables}
+ratio AS (SELECT gram, ln(({p["a"]}) / ({p["b"]})) AS x FROM c{joins}),
+sc AS (SELECT page_id, avg(x) AS score FROM g JOIN ratio USING (gram) GROUP BY page_id),
+bins AS (SELECT CAST(greatest(-1000, least(1000, floor(score * 100))) AS INTEGER) AS bin,
+                count(*) FILTER (given = 'allow') AS a, count(*) FILTER (given = 'block') AS b
+         FROM u JOIN sc USING (page_id) WHERE page_id % 5 = 0 AND given IS NOT NULL GROUP BY 1),
+errs AS (SELECT bin, round(coalesce(sum(a) OVER below, 0) / sum(a) OVER () + 1 - coalesce(sum(b) OVER below, 0) / sum(b) OVER (), 9) AS err
+         FROM bins WINDOW below AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cut AS (SELECT bin / 100 AS cut FROM errs WHERE err IS NOT NULL ORDER BY err, bin LIMIT 1)
+SELECT u.page_id, host, path, rule,
+       coalesce(given, CASE WHEN NOT EXISTS (SELECT 1 FROM cut) OR score >= (SELECT cut FROM cut) THEN 'allow' ELSE 'block' END) AS verdict
+FROM u JOIN sc USING (page_id)"""
+
+
+@query(_url_sql())
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url by the four rules, or else by the models."""
     return url_filter.url_filter(table(spark, sf_dir, "pages"), RULES).drop("score")

@@ -97,8 +97,8 @@ def cut(scored: DataFrame) -> DataFrame:
     )
     every = Window.partitionBy(F.lit(0))
     below = every.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    lost = F.coalesce(F.sum("a").over(below), F.lit(0)) / F.sum("a").over(every)
-    passed = 1 - F.coalesce(F.sum("b").over(below), F.lit(0)) / F.sum("b").over(every)
+    lost = F.try_divide(F.coalesce(F.sum("a").over(below), F.lit(0)), F.sum("a").over(every))
+    passed = 1 - F.try_divide(F.coalesce(F.sum("b").over(below), F.lit(0)), F.sum("b").over(every))
     erred = bins.withColumn("error", F.round(lost + passed, 9)).filter("error IS NOT NULL")
     return erred.orderBy("error", "bin").limit(1).select((F.col("bin") / 100).alias("cut"))
 

@@ -73,5 +73,7 @@ def test_nothing_to_learn_from(spark):
     found = U.url_filter(pages(spark, ["http://a.info/", None, "http://a.info/"]), RULES).collect()
     assert [r.verdict for r in found] == ["allow"] * 3
     assert U.url_filter(pages(spark, []), RULES).collect() == []
+    blocked = [f"http://x{k}.net/" for k in range(12)] + ["http://a.info/"]
+    assert [r.verdict for r in U.url_filter(pages(spark, blocked), RULES).orderBy("page_id").collect()] == ["block"] * 12 + ["allow"]
     both = spark.createDataFrame([(None, "http://x.net/"), (7, None), (7, "http://x.net/")], "page_id long, url string")
     assert U.url_filter(both, RULES).count() == 3
