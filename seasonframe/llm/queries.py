@@ -227,7 +227,59 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"), RULES).drop("score")
 
 
-@query()
+def _katz_sql() -> str:
+    """The model and its folds in SQL; an end is one blank, a beginning two."""
+
+    def discounts(name: str, table: str) -> str:
+        n = ", ".join(f"count(*) FILTER (c = {r})" for r in range(1, katz.CUT + 2))
+        common = f"({katz.CUT + 1} * n[{katz.CUT + 1}] / n[1]::DOUBLE)"
+        return f"""
+{name}n AS (SELECT [{n}] AS n FROM {table}),
+{name}r AS (SELECT r, n, CASE WHEN n[1] > 0 AND n[r] > 0 AND {common} <> 1
+                   THEN ((r + 1) * n[r + 1] / n[r]::DOUBLE / r - {common}) / (1 - {common}) END AS d,
+              CASE WHEN n[1] > 0 THEN least(0.9, greatest(0.1, n[1] / (n[1] + 2 * n[2])::DOUBLE)) ELSE 0.5 END AS part
+            FROM {name}n, range(1, {katz.CUT + 1}) t(r)),
+{name}d AS (SELECT list(CASE WHEN fit THEN d ELSE (r - part) / r END ORDER BY r) AS d, any_value(n) AS n
+            FROM (SELECT *, bool_and(coalesce(d > 0 AND d < 1, false)) OVER () AS fit FROM {name}r)),"""
+
+    def kept(name: str, c: str) -> str:
+        return f"(CASE WHEN {c} <= {katz.CUT} THEN {name}d.d[{c}] * {c} ELSE {c} - {katz.CUT} * (1 - {name}d.d[{katz.CUT}]) END)"
+
+    return f"""
+WITH RECURSIVE tb AS (
+  SELECT range AS i, 0 AS n, range AS c FROM range(256)
+  UNION ALL SELECT i, n + 1, xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) FROM tb WHERE n < 8),
+cr AS (
+  SELECT doc_id, CAST(doc_id AS VARCHAR) AS s, 0 AS k, 4294967295 AS c FROM documents
+  UNION ALL SELECT doc_id, s, k + 1, xor(cr.c >> 8, tb.c)
+  FROM cr JOIN tb ON tb.n = 8 AND tb.i = xor(cr.c & 255, ascii(substr(s, k + 1, 1))) WHERE k < length(s)),
+d AS (
+  SELECT doc_id, xor(c, 4294967295) % 5 = 1 AS held_out, list_append(regexp_extract_all({_LOWER.format("text")}, {_WORD}), ' ') AS ws
+  FROM documents JOIN cr USING (doc_id) WHERE k = length(s)),
+t AS (
+  SELECT doc_id, held_out, ws[p] AS w, CASE WHEN p = 1 THEN '  ' ELSE ws[p - 1] END AS v
+  FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS p FROM d)),
+one AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+two AS (SELECT v, w, count(*) AS c FROM t WHERE NOT held_out GROUP BY v, w),
+ctx AS (SELECT v, sum(c) AS c FROM two GROUP BY v),{discounts("u", "one")}{discounts("b", "two")}
+m AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS types FROM one),
+unk AS (
+  SELECT (list_sum(list_transform(range(1, {katz.CUT + 1}), lambda r: ud.n[r] * r * (1 - ud.d[r])))
+          + (types - list_sum(ud.n[1:{katz.CUT}])) * {katz.CUT} * (1 - ud.d[{katz.CUT}])) / m.n AS p
+  FROM ud, m),
+p1 AS (SELECT w, c, {kept("u", "c")} / m.n AS p FROM one, ud, m),
+al AS (
+  SELECT v, (1 - sum({kept("b", "two.c")} / ctx.c)) / (1 - sum(p1.p)) AS a
+  FROM two JOIN ctx USING (v) JOIN p1 USING (w), bd GROUP BY v)
+SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(p1.c) AS n_known, any_value(m.n) AS train_tokens,
+  sum(log10((coalesce(p1.c, 0) + 0.5) / (m.n + 0.5 * (m.types + 1)))) AS base_score,
+  sum(log10(CASE WHEN two.c > 0 THEN {kept("b", "two.c")} / ctx.c WHEN ctx.c > 0 THEN al.a * coalesce(p1.p, unk.p)
+            ELSE coalesce(p1.p, unk.p) END)) AS score
+FROM t LEFT JOIN p1 USING (w) LEFT JOIN two ON two.v = t.v AND two.w = t.w LEFT JOIN ctx ON ctx.v = t.v LEFT JOIN al ON al.v = t.v, bd, m, unk
+GROUP BY doc_id"""
+
+
+@query(_katz_sql())
 def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents under a model of four folds of five."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (~fold(1)).alias("train"))
