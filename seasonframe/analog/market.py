@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seasonframe import schemas as S
 from seasonframe.analog import views as V
 from seasonframe.analog.registry import query
+from seasonframe.functions import snapshot_date_of
 from seasonframe.operators import college, listing
 from seasonframe.operators import market as M
+from seasonframe.sources.documents import array_documents
 
 _ROW_JSON = """'{"name":"' || name || '","position":"' || position || '","team":"' || team || '","value":' || value || '}'"""
 _PRINTS = f"""fp AS (
@@ -25,8 +28,14 @@ def _dated(df: DataFrame) -> DataFrame:
 
 @query(f"WITH {V.MARKET} SELECT CAST(snapshot_date AS VARCHAR) AS snapshot_date, name, team, value, position, tier FROM mk")
 def q_market(spark: SparkSession, sf: str) -> DataFrame:
-    """Market rows."""
-    return _dated(V.market(spark, sf).drop("ord"))
+    """Market rows rendered as documents, pieces of dated snapshots, and read back by file name."""
+    rows = V.market(spark, sf)
+    file = F.concat(F.lit("landing/snapshot-"), F.col("snapshot_date").cast("string"), F.lit(".json"))
+    item = F.struct("name", "team", "value", "position")
+    docs = rows.groupBy(file.alias("file"), "tier", (F.xxhash64("name") % 997).alias("piece"))
+    docs = docs.agg(F.to_json(F.collect_list(item)).alias("value"))
+    dated = docs.select("value", "tier", snapshot_date_of(F.col("file")).alias("snapshot_date"))
+    return _dated(array_documents(dated, S.MARKET_ROW).drop("ord"))
 
 
 @query(f"""WITH {V.MARKET}
@@ -119,8 +128,10 @@ def q_name_match(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {V.COLLEGE} SELECT * FROM co")
 def q_college_long(spark: SparkSession, sf: str) -> DataFrame:
-    """College rows in long form."""
-    return V.college(spark, sf)
+    """College rows in long form, from a document per player of each category and season."""
+    rows = V.college(spark, sf)
+    docs = rows.groupBy("season", "category", "playerId").agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
+    return array_documents(docs.select("value"), S.COLLEGE_STATS).select(rows.columns)
 
 
 @query(f"""WITH {V.COLLEGE}

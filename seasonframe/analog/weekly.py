@@ -10,6 +10,7 @@ from seasonframe.analog.registry import query
 from seasonframe.functions import season_of_date
 from seasonframe.operators import availability as A
 from seasonframe.operators import dedup, diff, injuries, totals, weekly
+from seasonframe.plans.college import college_plan
 from seasonframe.plans.season import season_plan
 
 KEY = ["season", "player_id"]
@@ -263,15 +264,19 @@ def q_publish_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH n AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS season, o_custkey AS part, count(*) AS n
                     FROM orders GROUP BY 1, 2)
-SELECT a.season, a.part, b.n AS old_n, a.n AS new_n,
-       CASE WHEN b.n IS NULL THEN 'write' WHEN a.n = b.n THEN 'skip' ELSE 'refuse' END AS action
+SELECT a.season, CAST(a.part AS VARCHAR) AS category, b.n AS old_n, a.n AS new_n,
+       CASE WHEN b.n IS NULL THEN 'write' WHEN a.n = b.n THEN 'skip' WHEN a.part % 3 = 0 THEN 'refuse' ELSE 'write' END AS action
 FROM n a LEFT JOIN n b ON a.season = b.season + 1 AND a.part = b.part""")
 def q_category_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """Publish decision by row count alone; every partition counts as complete."""
-    rows = V.table(spark, sf, "orders").select(F.year("o_orderdate").alias("season"), F.col("o_custkey").alias("part"))
-    plan = diff.count_plan_input(V.carried_over(rows), rows, ["season", "part"])
-    action = diff.publish_action(F.col("old_n").isNotNull(), F.col("identical"), F.lit(False))
-    return plan.select("season", "part", "old_n", "new_n", action.alias("action"))
+    """The college plan's decisions by row count; every third category counts as complete."""
+    orders = V.table(spark, sf, "orders")
+    rows = orders.select(F.year("o_orderdate").alias("season"), F.col("o_custkey").cast("string").alias("category"))
+    manifest = rows.distinct().select(
+        F.concat_ws("/", F.lit("college"), "category", F.col("season").cast("string")).alias("path"),
+        (F.col("category").cast("long") % 3 != 0).alias("inProgress"),
+    )
+    plan = college_plan(rows, V.carried_over(rows), manifest)
+    return plan.select("season", "category", "old_n", "new_n", "action")
 
 
 # Injuries against segments ----------------------------------------------------------------------
