@@ -6,8 +6,11 @@ value of a slot stays. When all slots of a document are filled, later layers can
 any, so its work stops: long documents end after a layer or two.
 
 Documents with one shingle set are one class; only its first member goes on. Members of a
-band's bucket are compared with a leader, then, as long as a bucket holds several
-components, its members across components. Candidates are confirmed on their full sets.
+band's buckets that roughly resemble the first of them form families. A family's sets meet
+in groups of bounded size, which compare all their members by products of their incidence
+matrices and give back a spanning forest, so no pairs are shuffled. Candidates of different
+families, which are few, are paired and compared one by one. All links are confirmed on
+full sets.
 """
 
 from __future__ import annotations
@@ -26,8 +29,24 @@ SLOTS = 256
 MISS = 1e-8
 """Greatest chance that a pair right at the threshold shares no band."""
 
-SKETCH_LIMIT = 34
-"""Of 128 one-bit slots a pair at similarity 0.8 differs in 12.8 on average, 3.4 standard deviation."""
+SKETCH_BITS = 4
+"""Bits of a slot in the sketch by which candidates are sifted before their sets are compared."""
+
+DEVIATIONS = 5.5
+"""A pair at the threshold that differs in more slots by so many standard deviations is let go."""
+
+
+FAMILY = 0.5
+"""Estimated similarity to the first document of a bucket from which on a document joins its family."""
+
+GROUP_DOCS, GROUP_SHINGLES = 1024, 2_000_000
+"""What half a group of a family holds at most, in documents and about in shingles."""
+
+
+def sketch_limit(num: int, den: int) -> int:
+    """Slots in which the sketches of an alike pair may differ."""
+    p = (1 - num / den) * (1 - 0.5**SKETCH_BITS)
+    return int(SLOTS * p + DEVIATIONS * (SLOTS * p * (1 - p)) ** 0.5)
 
 
 def bands(num: int, den: int) -> tuple[int, int]:
@@ -93,7 +112,7 @@ def _sign(size: int, rows: int, count: int) -> MapArrow:
             keys = np.broadcast_to(salt, (len(slots), count))
             for k in range(rows):
                 keys = pair(keys, slots[:, k : rows * count : rows])
-            bits = np.packbits((slots[:, :128] & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+            bits = [np.packbits((slots >> np.uint64(b) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64) for b in range(SKETCH_BITS)]
             n = np.diff(offset)
             sums = [np.r_[np.uint64(0), np.cumsum(mix(sets ^ np.uint64(s)))][offset] for s in (0x1234567, 0x89ABCDEF)]
             full = n > 0
@@ -103,8 +122,7 @@ def _sign(size: int, rows: int, count: int) -> MapArrow:
                     "n_shingles": pa.array(n, pa.int64()),
                     "f1": pa.array(np.diff(sums[0]).view(np.int64)),
                     "f2": pa.array(np.diff(sums[1]).view(np.int64)),
-                    "s1": pa.array(bits[:, 0]),
-                    "s2": pa.array(bits[:, 1]),
+                    "sketch": pa.array(list(np.hstack(bits)), pa.list_(pa.int64())),
                     "bands": pa.ListArray.from_arrays(
                         pa.array(np.r_[0, np.cumsum(full * count)], pa.int32()), pa.array(keys[full].reshape(-1).view(np.int64))
                     ),
@@ -141,6 +159,42 @@ def _confirm(num: int, den: int) -> MapArrow:
     return confirm
 
 
+def _forest(num: int, den: int):
+    """Links that join what is alike in a group, each to the least of its component."""
+
+    def forest(group: pa.Table) -> pa.Table:
+        group = group.sort_by("doc_id")
+        ids = group.column("doc_id").to_numpy()
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for c in group.column("shingles").chunks for v in c]
+        sizes = np.array([len(x) for x in sets])
+        doc = np.repeat(np.arange(len(sets)), sizes)
+        _, shingle, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        place = np.cumsum(seen > 1) - 1
+        common = seen[shingle] > 1
+        doc, shingle = doc[common], place[shingle[common]]
+        by = np.argsort(shingle, kind="stable")
+        doc, shingle = doc[by], shingle[by]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for first in range(0, int(shingle[-1]) + 1 if len(shingle) else 0, 4096):
+            a, b = np.searchsorted(shingle, [first, first + 4096])
+            part = np.zeros((len(sets), 4096), np.float32)
+            part[doc[a:b], shingle[a:b] - first] = 1
+            both += part @ part.T
+        either = sizes[:, None] + sizes[None, :] - both
+        alike = den * both.astype(np.float64) >= num * either.astype(np.float64)
+        label = np.arange(len(sets))
+        while True:
+            least = np.where(alike, label[None, :], len(sets)).min(axis=1)
+            least = np.minimum(least, label)[np.minimum(least, label)]
+            if (least == label).all():
+                break
+            label = least
+        tied = label != np.arange(len(sets))
+        return pa.table({"a": ids[label[tied]], "b": ids[tied]})
+
+    return forest
+
+
 def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over the links of a task's batches, as links to each part's least member."""
     for batch in batches:
@@ -185,11 +239,20 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
+def _apart(a: str, b: str) -> Column:
+    """Slots in which two sketches differ."""
+    x, y = F.col(f"{a}.sketch"), F.col(f"{b}.sketch")
+    longs, apart = SLOTS // 64, F.lit(0)
+    for k in range(longs):
+        differ = [F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i))) for i in range(k, longs * SKETCH_BITS, longs)]
+        apart = apart + F.bit_count(functools.reduce(Column.bitwiseOR, differ))
+    return apart
+
+
 def _close(a: str, b: str, num: int, den: int) -> Column:
     """Whether sizes and sketches of two sets allow the similarity."""
     n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    apart = F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) + F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))
-    return (F.least(n, m) * den >= F.greatest(n, m) * num) & (apart <= SKETCH_LIMIT)
+    return (F.least(n, m) * den >= F.greatest(n, m) * num) & (_apart(a, b) <= sketch_limit(num, den))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -197,14 +260,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
 
     Documents are linked whose shingle sets satisfy ``den * |A & B| >= num * |A | B|``;
     ``component_id`` is the least doc_id that links reach. NULL and empty texts, and texts
-    without words, have no shingles and stand alone. Rows of one text are one class.
-    A doc_id is expected once.
+    without words, have no shingles and stand alone. Rows of one text are one class. Rows
+    without doc_id are kept unless their text has a row with one; they make no links to
+    other texts. A doc_id is expected once.
     """
     rows, count = bands(num, den)
     text = docs.select("doc_id", "text")
     sig = stored(
         text.mapInArrow(
-            _sign(shingle, rows, count), "doc_id long, n_shingles long, f1 long, f2 long, s1 long, s2 long, bands array<long>"
+            _sign(shingle, rows, count), "doc_id long, n_shingles long, f1 long, f2 long, sketch array<long>, bands array<long>"
         ),
         "signatures",
     )
@@ -216,36 +280,39 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     buckets = stored(banded.join(shared, "band"), "buckets")
 
     members = buckets.select("doc_id").distinct()
-    feature = stored(sig.select("doc_id", "n_shingles", "s1", "s2").join(members, "doc_id", "left_semi"), "features")
+    feature = stored(sig.select("doc_id", "n_shingles", "sketch").join(members, "doc_id", "left_semi"), "features")
     sets = stored(text.join(feature.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, shingles binary"), "sets")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        a, b = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(num, den), "a long, b long")
-
-    def allowed(pairs: DataFrame) -> DataFrame:
-        x, y = (feature.select([F.col(c).alias(f"{k}_{c}") for c in feature.columns]) for k in "ab")
-        pairs = pairs.join(x, F.col("a") == F.col("a_doc_id")).join(y, F.col("b") == F.col("b_doc_id"))
-        pairs = pairs.select("a", "b", *[F.struct(*[F.col(f"{k}_{c}").alias(c) for c in feature.columns]).alias(k * 2) for k in "ab"])
-        return pairs.filter(_close("aa", "bb", num, den)).select("a", "b")
-
-    # Every document against the first leader of its buckets.
-    star = buckets.filter("leader < doc_id").groupBy("doc_id").agg(F.min("leader").alias("a"))
-    tested = star.select("a", F.col("doc_id").alias("b"))
-    links = stored(confirmed(allowed(tested)), "star")
-    # Against its other leaders, unless they are connected by now.
-    tested, links = _next_round(buckets, tested, links, lambda x: confirmed(allowed(x)))
-    # Buckets that still hold several components: their members across components.
-    comp = components(links)
-    placed = buckets.join(comp, "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
+    # Families: documents that resemble the first leader of their buckets, joined up.
+    star = buckets.filter("leader < doc_id").groupBy("doc_id").agg(F.min("leader").alias("leader"))
+    b = star.join(feature, "doc_id").alias("b")
+    a = feature.withColumnRenamed("doc_id", "first").alias("a")
+    near = b.join(a, (F.col("leader") == F.col("first")) & (_apart("a", "b") <= SLOTS * (1 - FAMILY)))
+    family = components(near.select(F.col("first").alias("a"), F.col("b.doc_id").alias("b")))
+    family = stored(family.withColumnRenamed("component", "family"), "families")
+
+    # A family's groups: all of it, or every two of its parts.
+    sized = family.join(feature.select("doc_id", "n_shingles"), "doc_id").groupBy("family")
+    sized = sized.agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    parts = F.greatest(F.ceil(F.col("n") / GROUP_DOCS), F.ceil(F.col("s") / GROUP_SHINGLES)).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), "parts").cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: (F.col("parts") == 1) | (j != F.col("own")))
+    dealt = family.join(sized.select("family", parts.alias("parts")), "family").withColumn("own", own)
+    dealt = dealt.select("doc_id", "family", "own", F.explode(others).alias("other"))
+    dealt = dealt.select("doc_id", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    groups = dealt.join(sets, "doc_id").groupBy("family", "i", "j")
+    links = stored(groups.applyInArrow(_forest(num, den), "a long, b long"), "within")
+
+    # Candidates of different families, of which single documents are some.
+    placed = buckets.join(family, "doc_id", "left").select("band", "doc_id", F.coalesce("family", "doc_id").alias("family"))
+    mixed = placed.groupBy("band").agg(F.min("family").alias("x"), F.max("family").alias("y")).filter("x < y")
     rest = stored(placed.join(mixed.select("band"), "band", "left_semi").join(feature, "doc_id"), "rest")
     a, b = rest.alias("a"), rest.alias("b")
-    across = a.join(
-        b, (F.col("a.band") == F.col("b.band")) & (F.col("a.component") < F.col("b.component")) & _close("a", "b", num, den)
-    )
+    across = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.family") < F.col("b.family")) & _close("a", "b", num, den))
     across = across.select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b")).distinct()
-    links = links.unionByName(stored(confirmed(across.join(tested, ["a", "b"], "left_anti")), "across"))
+    a, b = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
+    pairs = across.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b")
+    links = links.unionByName(stored(pairs.mapInArrow(_confirm(num, den), "a long, b long"), "across"))
     comp = components(links)
 
     found = full.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["n_shingles", "f1", "f2"])
@@ -253,13 +320,4 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     found = found.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = sig.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = found.unionByName(alone)
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
-
-
-def _next_round(buckets: DataFrame, tested: DataFrame, links: DataFrame, confirm) -> tuple[DataFrame, DataFrame]:
-    comp = components(links)
-    lead = comp.select(F.col("doc_id").alias("leader"), F.col("component").alias("with"))
-    pairs = buckets.filter("leader < doc_id").select("leader", "doc_id").distinct().join(comp, "doc_id", "left").join(lead, "leader", "left")
-    pairs = pairs.filter(F.coalesce("component", "doc_id") != F.coalesce("with", "leader"))
-    more = stored(pairs.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).join(tested, ["a", "b"], "left_anti"), "leaders")
-    return tested.unionByName(more), links.unionByName(stored(confirm(more), "more"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
