@@ -25,7 +25,6 @@ def local_session(app: str = "seasonframe", cpus: str | int = "*", **conf: str)
         # Recording the Python line of each column expression costs more than small queries.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("DRIVER_MEMORY", "8g"))
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -33,4 +32,6 @@ def local_session(app: str = "seasonframe", cpus: str | int = "*", **conf: str)
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return spark
