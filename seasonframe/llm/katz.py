@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from seasonframe.llm.common import LOWER, Words, pair, stored
 
 BLOCK_BYTES = 12 << 20
+ROW_BYTES = 64
 CUT = 5
 """Counts up to this have Good-Turing discounts."""
 
@@ -283,7 +284,9 @@ def katz_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     tokens that training has seen. NULL and empty texts are just an end; NULL ``train`` is
     false. Without training rows all words are the unknown one, and scores are 0.
     """
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
+    # Every document counts some bytes, so that many without text fill many blocks too.
+    cost = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES
+    size = docs.agg(F.coalesce(F.sum(cost), F.lit(0)).alias("bytes")).first()["bytes"]
     blocks = max(1, -(-int(size) // block_bytes))
     rows = docs.select(
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"),
