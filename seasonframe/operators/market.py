@@ -46,51 +46,54 @@ def snapshot_changes(market: DataFrame) -> DataFrame:
     return prints.select("snapshot_date", differs.alias("changed"))
 
 
-def change_ratio(
-    baseline: DataFrame, updated: DataFrame, by: str = "snapshot_date", value: str = "value"
-) -> DataFrame:
-    """``by, changed_n, prev_n, ratio``: updated rows without an equal old row, per old row.
-
-    Names are matched to the first old row of that name, whatever its team. Updated rows
-    are first counted per distinct (name, value), and the value is part of the join key:
-    a name that fills a third of the snapshot, with however many values, stays spread.
-    """
-    first_old = first_seen(
-        baseline.select(by, "name", "ord", F.col(value).alias("old_value")), [by, "name"], "ord"
-    ).select(
-        F.col(by).alias("_by"), F.col("name").alias("_name"), "old_value", F.lit(True).alias("same")
+def _cells(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """Rows and least order of each name and value: all that the ratio needs, in one hash aggregate."""
+    return rows.groupBy(by, "name", F.col(value).alias("cell_value")).agg(
+        F.min("ord").alias("ord"), F.count(F.lit(1)).alias("rows")
     )
-    new_counts = updated.groupBy(by, "name", F.col(value).alias("new_value")).agg(
-        F.count(F.lit(1)).alias("rows")
+
+
+def _ratio(old: DataFrame, new: DataFrame, by: str) -> DataFrame:
+    first = old.groupBy(by, "name").agg(F.min("ord").alias("ord"))
+    first = old.join(first, [by, "name", "ord"], "left_semi").select(
+        F.col(by).alias("_by"), F.col("name").alias("_name"), F.col("cell_value").alias("_value"), F.lit(True).alias("same")
     )
     equal = (
         (F.col(by) == F.col("_by"))
         & (F.col("name") == F.col("_name"))
-        & F.col("new_value").eqNullSafe(F.col("old_value"))
+        & F.col("cell_value").eqNullSafe(F.col("_value"))
     )
     changed = (
-        new_counts.join(first_old, equal, "left")
+        new.join(first, equal, "left")
         .groupBy(by)
         .agg(F.sum(F.when(F.col("same"), 0).otherwise(F.col("rows"))).alias("changed_n"))
     )
-    sizes = baseline.groupBy(by).agg(F.count(F.lit(1)).alias("prev_n"))
+    sizes = old.groupBy(by).agg(F.sum("rows").alias("prev_n"))
     return changed.join(sizes, by).select(
         by, "changed_n", "prev_n", F.try_divide("changed_n", "prev_n").alias("ratio")
     )
 
 
+def change_ratio(
+    baseline: DataFrame, updated: DataFrame, by: str = "snapshot_date", value: str = "value"
+) -> DataFrame:
+    """``by, changed_n, prev_n, ratio``: updated rows without an equal old row, per old row.
+
+    Names are matched to the first old row of that name, whatever its team. Both sides are
+    first reduced to distinct names and values, and the value or the order is part of each
+    join key: a name that fills a third of the snapshot, with however many values, stays spread.
+    """
+    return _ratio(_cells(baseline, by, value), _cells(updated, by, value), by)
+
+
 def change_history(market: DataFrame, value: str = "value") -> DataFrame:
-    """``change_ratio`` of every snapshot against the one before it."""
-    following = snapshot_calendar(market).select(
-        F.col("previous_date").alias("old_date"), F.col("snapshot_date").alias("next_date")
-    ).filter("old_date IS NOT NULL")
-    # The calendar holds one row per date, which bounds the broadcast.
-    baseline = (
-        market.join(F.broadcast(following), F.col("snapshot_date") == F.col("old_date"))
-        .withColumn("snapshot_date", F.col("next_date"))
-        .drop("old_date", "next_date")
-    )
-    return change_ratio(baseline, market, value=value)
+    """``change_ratio`` of every snapshot against the one before it, from one aggregate."""
+    cells = _cells(market, "snapshot_date", value)
+    following = snapshot_calendar(cells).select(
+        F.col("previous_date").alias("snapshot_date"), F.col("snapshot_date").alias("next_date")
+    ).filter("snapshot_date IS NOT NULL")
+    old = cells.join(following, "snapshot_date").drop("snapshot_date").withColumnRenamed("next_date", "snapshot_date")
+    return _ratio(old, cells, "snapshot_date")
 
 
 def guard_ratio(
