@@ -17,7 +17,7 @@ import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 """Text that one step of a task holds as arrays; a longer document is a chunk of its own."""
 
 _PIECE = 1 << 16

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seasonframe.llm.common import ALNUM, MapArrow, Words, chunks
 
@@ -234,11 +235,18 @@ def _scan(shared) -> MapArrow:
 
 
 def find_spans(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = WINDOW,
+    block_bytes: int = BLOCK_BYTES,
+    carry: tuple[str, ...] = (),
+    then: MapArrow | None = None,
+    schema: T.StructType | None = None,
 ) -> DataFrame:
     """``doc_id, text`` with ``n_words``, merged word ``spans`` and ``items`` that occur.
 
-    Columns named in ``carry`` come along in the struct ``carried``; others don't.
+    Columns named in ``carry`` come along in the struct ``carried``; others don't. With
+    ``then`` the batches of the last pass go through it, in the same task, into ``schema``.
 
     NULL or empty texts have no words and no spans; items without words occur nowhere; an
     item_id that comes twice counts once; without items nothing is hit. ``block_bytes``
@@ -256,8 +264,10 @@ def find_spans(
     for block in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "phrase"), F.lit(blocks)) == block)
         rows = [(r["item"], r["phrase"].encode() if r["phrase"] is not None else None) for r in part.toLocalIterator()]
-        shared = spark.sparkContext.broadcast(Phrases(rows, window))
-        found = found.mapInArrow(_scan(shared), found.schema)
+        scan = _scan(spark.sparkContext.broadcast(Phrases(rows, window)))
+        if then is not None and block == blocks - 1:
+            return found.mapInArrow(lambda batches, scan=scan: then(scan(batches)), schema)
+        found = found.mapInArrow(scan, found.schema)
     return found
 
 
@@ -301,7 +311,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
 
     Returns ``doc_id, text`` and the columns of ``carry``; NULL texts stay NULL.
     """
-    found = find_spans(docs, benchmark, window, carry=carry).select("doc_id", "text", "spans", "carried")
-    schema = found.drop("spans").withColumn("gone", F.lit(False)).select("doc_id", "text", "gone", "carried").schema
-    clean = found.mapInArrow(_cut, schema).filter(~F.col("gone"))
+    kept = F.struct(F.lit(0).alias("_"), *[F.col(c) for c in carry]).alias("carried")
+    schema = docs.select("doc_id", "text", F.lit(False).alias("gone"), kept).schema
+    clean = find_spans(docs, benchmark, window, carry=carry, then=_cut, schema=schema).filter(~F.col("gone"))
     return clean.select("doc_id", "text", *[F.col("carried")[c].alias(c) for c in carry])

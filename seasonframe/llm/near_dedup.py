@@ -39,7 +39,7 @@ DEVIATIONS = 5.5
 FAMILY = 0.5
 """Estimated similarity to the first document of a bucket from which on a document joins its family."""
 
-GROUP_DOCS, GROUP_SHINGLES = 1024, 2_000_000
+GROUP_DOCS, GROUP_SHINGLES = 512, 1_000_000
 """What half a group of a family holds at most, in documents and about in shingles."""
 
 
@@ -175,9 +175,9 @@ def _forest(num: int, den: int):
         by = np.argsort(shingle, kind="stable")
         doc, shingle = doc[by], shingle[by]
         both = np.zeros((len(sets), len(sets)), np.float32)
-        for first in range(0, int(shingle[-1]) + 1 if len(shingle) else 0, 4096):
-            a, b = np.searchsorted(shingle, [first, first + 4096])
-            part = np.zeros((len(sets), 4096), np.float32)
+        for first in range(0, int(shingle[-1]) + 1 if len(shingle) else 0, 1024):
+            a, b = np.searchsorted(shingle, [first, first + 1024])
+            part = np.zeros((len(sets), 1024), np.float32)
             part[doc[a:b], shingle[a:b] - first] = 1
             both += part @ part.T
         either = sizes[:, None] + sizes[None, :] - both
