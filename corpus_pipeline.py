@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from seasonframe.llm.common import stored
 from seasonframe.llm.decontamination import decontaminate
+from seasonframe.llm.line_dedup import MIN_WORDS
 from seasonframe.llm.line_dedup import line_dedup as without_repeated_lines
 from seasonframe.llm.mixing import mixture
 from seasonframe.llm.near_dedup import near_duplicates
@@ -31,8 +32,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of lines go, and documents that were nothing else."""
-    found = without_repeated_lines(docs, carry=("lang", "source"))
+    """Later copies of runs of lines and of long lines go, and documents that were nothing else."""
+    found = without_repeated_lines(docs, carry=("lang", "source"), min_words=MIN_WORDS)
     return _resized(found.filter("n_removed = 0 OR n_removed < n_lines"))
 
 

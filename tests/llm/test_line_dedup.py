@@ -43,3 +43,39 @@ def test_empty_table_and_missing_ids(spark):
     rows = [(None, "a\nb"), (None, "a\nb"), (1, "a\nb")]
     found = L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [r.text for r in found] == ["a\nb"] * 3
+
+
+def weigh(run):
+    solid = ["".join(c for c in line if c.isalnum() or c.isspace()) for line in run]
+    return sum(max(len(x.split()), len("".join(x.split())) // 8) for x in solid)
+
+
+def brute_words(texts, n, words):
+    seen, out = set(), {}
+    for k in sorted(texts):
+        lines, gone = texts[k].split("\n"), set()
+        for p in range(len(lines)):
+            for size in range(1, min(n, len(lines) - p) + 1):
+                key = tuple(lines[p : p + size])
+                if key in seen and (size == n or weigh(key) >= words):
+                    gone |= set(range(p, p + size))
+                seen.add(key)
+        out[k] = (len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone))
+    return out
+
+
+def test_long_line_between_different_neighbours_goes(spark):
+    long = " ".join(edge.words(52, 3))
+    texts = {1: f"a\n{long}\nb", 2: f"c\n{long}\nd", 3: f"e\n{long}\na", 4: "\n".join(["漢字" * 30, "-" * 80, "漢字" * 30, "", "-" * 80, "x", ""])}
+    docs = edge.docs(spark, texts)
+    found = {r.doc_id: r.text for r in L.line_dedup(docs, min_words=L.MIN_WORDS).collect()}
+    assert found == {1: texts[1], 2: "c\nd", 3: "e\na", 4: "\n".join(["漢字" * 30, "-" * 80, "", "-" * 80, "x", ""])}
+
+
+@pytest.mark.parametrize("n,words", [(1, 9), (2, 3), (3, 5)])
+def test_runs_by_words_equal_brute_force(spark, n, words):
+    rng, texts = random.Random(n), {}
+    for k in range(60):
+        texts[k] = "\n".join(" ".join(["w"] * (j % 4) + [str(j)]) for j in (rng.randrange(14) for _ in range(rng.randint(1, 12))))
+    found = L.line_dedup(edge.docs(spark, texts), n, min_words=words).collect()
+    assert {r.doc_id: (r.n_removed, r.text) for r in found} == brute_words(texts, n, words)

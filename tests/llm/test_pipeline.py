@@ -25,3 +25,10 @@ def test_odd_rows(spark, name, stage):
     gone = {"line_dedup": {5}, "near_dedup": {5, 7, 10}}.get(name, set())
     assert found == set(edge.TEXTS) - gone
     assert stage(spark, edge.empty(spark), SF).collect() == []
+
+
+def test_line_dedup_stage_cuts_long_lines(spark):
+    long = " ".join(edge.words(52, 3))
+    texts = {1: f"first\n{long}\nof one", 2: f"second\n{long}\nof two", 3: long}
+    found = {r.doc_id: r.text for r in P.line_dedup(spark, edge.docs(spark, texts), SF).collect()}
+    assert found == {1: texts[1], 2: "second\nof two"}
