@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 
@@ -54,3 +55,31 @@ def test_conversations(spark):
     assert found[4].n_turns == 3
     assert C.format_chats(data.filter("false")).collect() == []
     assert C.repair([]) == (0, [])
+
+
+@pytest.mark.parametrize("closed", [False, True])
+def test_segments_equal_the_whole(spark, closed):
+    rng, rows = random.Random(5), []
+    for k in range(300):
+        key = None if k % 3 == 0 else 1 if k % 3 == 1 else 100 + k % 7
+        role = rng.choice(["user", "user", "assistant", "system", "tool", None])
+        rows.append((key, rng.choice([None, 1, 2, k, k]), role, rng.choice(["", None, "text <|user|>", "same", "é" * 30])))
+    rows += [(None, None, "user", "same")] * 200
+    data = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {r.conv_id: r for r in C.format_chats(data, closed=closed).collect()}
+    parts = {}
+    for r in C.format_chats(data, closed=closed, segment=200).collect():
+        parts.setdefault(r.conv_id, []).append(r)
+    assert parts.keys() == whole.keys() and len(parts[None]) > 20 and len(parts[1]) > 5
+    for key, found in parts.items():
+        found.sort(key=lambda r: r.part)
+        assert [r.part for r in found] == list(range(len(found)))
+        assert "".join(r.rendered for r in found) == whole[key].rendered
+        assert ",".join(r.roles for r in found if r.roles) == whole[key].roles
+        for name in C.COUNTS:
+            assert sum(r[name] for r in found) == whole[key][name], name
+        given = sorted(
+            ((t is not None, t or 0), (x is not None, x or ""), text or "") for c, t, x, text in rows if c == key
+        )
+        _, way = C.repair([x or None for _, (_, x), _ in given], closed=closed)
+        assert C.render(C.apply(way, [t for *_, t in given])) == whole[key].rendered
