@@ -1,12 +1,14 @@
-"""Substring dedup: documents parsed into factors of what stands earlier in the corpus.
+"""Substring dedup: words that no window repeats, found by joins of blocks and windows.
 
 Every window of ``window`` consecutive words has an anchor, the least of the seeds (short
 word runs) it holds, so equal windows have equal anchors wherever they stand. Windows in
 sequence that share an anchor form a block, identified by its anchor and all its words.
-The blocks of all documents, dealt out by anchor, are the index that documents are parsed
-against. A block that an earlier document has too is copied as a whole. The
+The blocks of all documents, dealt out by anchor, are the index that documents are looked
+up in. A block that an earlier document has too is copied as a whole. The
 other blocks of an anchor that occurs in several contexts are where factors end; their
 windows are looked up one by one. Copied windows in sequence from one source form a factor.
+This stands in for greedy relative Lempel-Ziv parsing: no longest match is sought, and a factor
+ends where the least source changes. The words kept are exact.
 
 Only hashes are shuffled, one block for about eight words; document texts move once.
 """
