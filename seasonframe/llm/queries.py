@@ -11,6 +11,7 @@ from seasonframe.llm import (
     chat,
     decontamination,
     hard_negatives,
+    jaccard_join,
     katz,
     line_dedup,
     mixing,
@@ -76,8 +77,9 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("spans")
 
 
-@query(
-    f"""
+def _linked_sql(percent: int) -> str:
+    """Sets of three-word shingles, links and what they reach, as ``c``, with ``n`` and ``d`` beside it."""
+    return f"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("text")}, {_WORD}) AS w FROM documents),
 s AS (
   SELECT doc_id, unnest(CASE
@@ -88,10 +90,14 @@ s AS (
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y USING (shingle) WHERE x.doc_id < y.doc_id GROUP BY ALL),
 links AS (
-  SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)
+  SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= {percent} * (x.n + y.n - k)
 ),
 ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-reach AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT b, c FROM reach JOIN ways ON a = doc_id)
+reach AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT b, c FROM reach JOIN ways ON a = doc_id)"""
+
+
+@query(
+    f"""{_linked_sql(85)}
 SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(c) AS component_id, min(c) = d.doc_id AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN reach USING (doc_id) GROUP BY d.doc_id"""
 )
@@ -319,3 +325,13 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("vector"),
     )
     return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+@query(
+    f"""{_linked_sql(90)}
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(c) AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN reach USING (doc_id) GROUP BY d.doc_id"""
+)
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents alike by at least 90 % of their shingles of three words."""
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents"), shingle=3, num=90, den=100)
