@@ -162,8 +162,9 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate table to the shared folder and read it again.
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it again, in a folder for each
+    value of ``by`` if that is given.
 
     Later steps read columns they need and start from the files, whatever executor is lost.
     The shuffle files behind the table go once it is written.
@@ -173,7 +174,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     return spark.read.schema(df.schema).parquet(path)

@@ -16,6 +16,7 @@ from seasonframe.llm import (
     line_dedup,
     mixing,
     near_dedup,
+    spelling,
     substring_dedup,
     tiff,
     toxicity,
@@ -234,6 +235,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"), RULES).drop("score")
 
 
+_CRC_TABLE = """tb AS (
+  SELECT range AS i, 0 AS n, range AS c FROM range(256)
+  UNION ALL SELECT i, n + 1, xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) FROM tb WHERE n < 8)"""
+
+
 def _katz_sql() -> str:
     """The model and its folds in SQL; an end is one blank, a beginning two."""
 
@@ -253,9 +259,7 @@ def _katz_sql() -> str:
         return f"(CASE WHEN {c} <= {katz.CUT} THEN {name}d.d[{c}] * {c} ELSE {c} - {katz.CUT} * (1 - {name}d.d[{katz.CUT}]) END)"
 
     return f"""
-WITH RECURSIVE tb AS (
-  SELECT range AS i, 0 AS n, range AS c FROM range(256)
-  UNION ALL SELECT i, n + 1, xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) FROM tb WHERE n < 8),
+WITH RECURSIVE {_CRC_TABLE},
 cr AS (
   SELECT doc_id, CAST(doc_id AS VARCHAR) AS s, 0 AS k, 4294967295 AS c FROM documents
   UNION ALL SELECT doc_id, s, k + 1, xor(cr.c >> 8, tb.c)
@@ -335,3 +339,45 @@ FROM d LEFT JOIN n USING (doc_id) JOIN reach USING (doc_id) GROUP BY d.doc_id"""
 def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents alike by at least 90 % of their shingles of three words."""
     return jaccard_join.similar_documents(table(spark, sf_dir, "documents"), shingle=3, num=90, den=100)
+
+
+@query(
+    f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (
+  SELECT doc_id, run, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY ALL),
+cr AS (
+  SELECT doc_id, run, hex(encode(concat(doc_id, ':', run))) AS s, 0 AS k, 4294967295 AS h FROM runs WHERE doc_id IS NOT NULL
+  UNION ALL SELECT doc_id, run, s, k + 1, xor(cr.h >> 8, tb.c)
+  FROM cr JOIN tb ON tb.n = 8 AND tb.i = xor(cr.h & 255, ('0x' || substr(s, 2 * k + 1, 2))::BIGINT) WHERE 2 * k < length(s)),
+slip AS (SELECT doc_id, run, xor(h, 4294967295) AS h FROM cr WHERE 2 * k = length(s)),
+words AS (
+  SELECT w AS word, CAST(sum(c) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS w, c
+        FROM runs LEFT JOIN slip USING (doc_id, run))
+  WHERE length(w) >= 6 GROUP BY w HAVING sum(c) >= 5),
+gap AS (SELECT word, i, left(word, i) || substr(word, i + 2) AS v FROM (SELECT word, unnest(range(0, length(word))) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other FROM gap a JOIN gap b ON a.v = b.v AND a.i = b.i AND a.word <> b.word
+  UNION SELECT gap.word, words.word FROM gap JOIN words ON words.word = gap.v
+  UNION SELECT words.word, gap.word FROM gap JOIN words ON words.word = gap.v),
+best AS (
+  SELECT near.word, o.word AS other, o.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near
+  FROM near JOIN words o ON o.word = near.other
+  QUALIFY row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, o.word) = 1),
+forms AS (
+  SELECT words.word, n, CASE WHEN other_n >= 5 * n THEN other END AS form, coalesce(n_near, 0) AS n_near,
+    CASE WHEN other_n >= 5 * n THEN other_n END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+walk AS (
+  SELECT word, word AS at FROM forms
+  UNION ALL SELECT walk.word, forms.form FROM walk JOIN forms ON forms.word = walk.at WHERE forms.form IS NOT NULL)
+SELECT f.word, f.form, walk.at AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN walk USING (word) JOIN forms last ON last.word = walk.at AND last.form IS NULL"""
+)
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words of the documents, some of them with planted slips, and their usual forms."""
+    words = spelling.vocabulary(table(spark, sf_dir, "documents"), least_length=6, least_count=5, slips=199)
+    return spelling.variants(words, ratio=5)
