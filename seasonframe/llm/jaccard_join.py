@@ -40,7 +40,7 @@ SEEDS = 2
 GROUP_DOCS, GROUP_SHINGLES = 512, 1_000_000
 """What half a group of a family holds at most, in documents and about in shingles."""
 
-RUN_DOCS = 4096
+RUN_DOCS = 256
 """Members of a bucket's first document that are compared in one run of rows, about."""
 
 
