@@ -10,6 +10,10 @@ edits)``; joined with the edges of its level it moves on along labels that match
 no edit is made, along those that match after one. A state with an edit goes on only where
 the node below continues with the word's next letter. States that reach a leaf with just the
 one edit are neighbours.
+
+Near the root everything branches, so no edits are made there: a word whose edit lies in its
+first half is found from its end, in a second trie of the words reversed. Both are walked in
+the same steps, and in either a word is followed along its one path to its middle.
 """
 
 from __future__ import annotations
@@ -33,7 +37,10 @@ END = "\0"
 STATES = 8192
 """Words for which the edges of a node are repeated once more, so that a join splits them."""
 
-_ROOT = xxhash.xxh3_128().digest()
+
+def _root(side: int) -> bytes:
+    return xxhash.xxh3_128(bytes([side])).digest()
+
 
 _RUN = re.compile("[A-Za-zÀ-ÿ]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -94,46 +101,47 @@ def vocabulary(docs: DataFrame, least_length: int = 6, least_count: int = 5, sli
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All prefixes of each word with the symbol that comes next; a digest stands for a prefix."""
-    schema = pa.schema([("id", pa.int64()), ("at", pa.int32()), ("node", pa.binary()), ("next", pa.string())])
+    """All prefixes of each word, read from either side, with the symbol that comes next; a digest stands for a prefix."""
+    schema = pa.schema([("id", pa.int64()), ("side", pa.int8()), ("at", pa.int32()), ("node", pa.binary()), ("next", pa.string())])
     for batch in batches:
         rows = []
         for k, word in zip(batch.column("id").to_pylist(), batch.column("word").to_pylist(), strict=True):
             if END in word:
                 raise ValueError("a word holds the end mark")
-            state = xxhash.xxh3_128()
-            for at, symbol in enumerate(word + END):
-                rows.append((k, at, state.digest(), symbol))
-                state.update(symbol.encode())
-                if len(rows) >= _HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
-                    rows = []
+            for side, text in ((0, word), (1, word[::-1])):
+                state = xxhash.xxh3_128(bytes([side]))
+                for at, symbol in enumerate(text + END):
+                    rows.append((k, side, at, state.digest(), symbol))
+                    state.update(symbol.encode())
+                    if len(rows) >= _HELD:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                        rows = []
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
 
 def trie(words: DataFrame) -> DataFrame:
-    """The edge table: ``level, node, salt, edges``, a row for each node and salt.
+    """The edge table of both tries: ``level, node, salt, edges``, a row for each node and salt.
 
     ``words`` has ``id, word``. An edge has ``label, child, copies, next, word``: the node below it with
     its number of salts and the symbols that its edges begin with, or the word that ends on it.
     ``level`` counts the edges from the root.
     """
-    prefixes = stored(words.mapInArrow(_prefixes, "id long, at int, node binary, next string"), "prefixes")
-    # The root is a node whether it goes on in one way or more.
+    prefixes = stored(words.mapInArrow(_prefixes, "id long, side byte, at int, node binary, next string"), "prefixes")
+    # A root is a node whether it goes on in one way or more.
     info = prefixes.groupBy("node").agg(
         F.count("*").alias("words"), F.array_sort(F.collect_set("next")).alias("next"), F.min("at").alias("at")
     )
     info = stored(info.filter("size(next) > 1 OR at = 0"), "nodes")
-    passed = salted_lookup(prefixes.select("id", "at", "node"), info.select("node", "words"), ["node"], ["id"], "inner")
-    path = passed.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "node", "words"))).alias("path"))
-    steps = path.join(words, "id").select(F.concat("word", F.lit(END)).alias("w"), "path", F.posexplode("path").alias("level", "step"))
+    passed = salted_lookup(prefixes.select("id", "side", "at", "node"), info.select("node", "words"), ["node"], ["id"], "inner")
+    path = passed.groupBy("id", "side").agg(F.array_sort(F.collect_list(F.struct("at", "node", "words"))).alias("path"))
+    steps = path.join(words, "id").select(F.concat(F.when(F.col("side") == 0, F.col("word")).otherwise(F.reverse("word")), F.lit(END)).alias("w"), F.col("word").alias("whole"), "path", F.posexplode("path").alias("level", "step"))
     below = F.get("path", F.col("level") + 1)
     last = F.when(below.isNull(), F.length("w")).otherwise(below["at"])
     steps = steps.select(
         "level", F.col("step.node").alias("node"), F.ceil(F.col("step.words") / STATES).cast("int").alias("copies"),
         F.substring("w", F.col("step.at") + 1, last - F.col("step.at")).alias("label"), below["node"].alias("child"),
-        F.when(below.isNull(), F.substring("w", F.lit(1), F.length("w") - 1)).alias("word"),
+        F.when(below.isNull(), F.col("whole")).alias("word"),
     )
     edges = stored(steps.distinct(), "edges")
     edges_below = edges.join(info.select(F.col("node").alias("child"), "next"), "child", "left")
@@ -145,15 +153,23 @@ def trie(words: DataFrame) -> DataFrame:
     return nodes.select("level", "node", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), "edges")
 
 
-_MOVES = """
-filter(array_append(
-  transform(filter(array(-1, 0, 1), d -> edits = 0 AND length(substring(w, pos + 1, length(label) + d)) = length(label) + d
-                   AND levenshtein(substring(w, pos + 1, length(label) + d), label, 1) = 1),
-            d -> struct(pos + length(label) + d AS pos, 1 AS edits)),
-  CASE WHEN substring(w, pos + 1, length(label)) = label THEN struct(pos + length(label) AS pos, edits AS edits) END),
-  m -> m IS NOT NULL AND CASE WHEN child IS NULL THEN m.edits = 1 AND m.pos = length(w)
-       ELSE m.edits = 0 OR array_contains(next, substring(w, m.pos + 1, 1)) END)"""
-"""Where a state comes to along an edge: past labels that match, and first past those one edit away."""
+_STEP = "substring(w, pos + 1, length(label)) = label"
+_FREE = "greatest(first - pos, 0)"
+"""Symbols of a label that lie before the first place where an edit may be."""
+
+_EDIT = f"""edits = 0 AND length(label) > {_FREE} AND length(substring(w, pos + 1, length(label) + {{d}})) = length(label) + {{d}}
+AND substring(w, pos + 1, {_FREE}) = substring(label, 1, {_FREE})
+AND levenshtein(substring(w, pos + {_FREE} + 1, length(label) - {_FREE} + {{d}}), substring(label, {_FREE} + 1), 1) = 1"""
+
+
+def _moves(states: DataFrame) -> DataFrame:
+    """States with the edges they may take, moved along labels that match, and along those one edit away."""
+    ways = [F.struct((F.expr("pos + length(label)")).alias("to"), F.col("edits").alias("made"), F.expr(_STEP).alias("fits"))]
+    for d in (-1, 0, 1):
+        ways.append(F.struct(F.expr(f"pos + length(label) + {d}").alias("to"), F.lit(1).alias("made"), F.expr(_EDIT.format(d=d)).alias("fits")))
+    moved = states.select("w", "first", "side", "child", "copies", "next", "word", F.inline(F.array(*ways))).filter("fits")
+    goes_on = "CASE WHEN child IS NULL THEN made = 1 AND to = length(w) ELSE made = 0 OR array_contains(next, substring(w, to + 1, 1)) END"
+    return moved.filter(goes_on)
 
 
 def neighbours(words: DataFrame) -> DataFrame:
@@ -163,16 +179,25 @@ def neighbours(words: DataFrame) -> DataFrame:
     listed = stored(listed, "listed")
     edges = stored(trie(listed), "trie", by="level")
     deepest = edges.agg(F.max("level")).first()[0]
-    found, salt = None, F.pmod(F.xxhash64("w"), "copies").cast("int")
+    salt = F.pmod(F.xxhash64("w"), "copies").cast("int")
     copies = F.lit(-(-listed.count() // STATES)).alias("copies")
-    state = listed.select(F.concat("word", F.lit(END)).alias("w"), F.lit(0).alias("pos"), F.lit(0).alias("edits"), F.lit(_ROOT).alias("node"), copies)
-    state = state.withColumn("salt", salt).drop("copies")
+    half = F.floor(F.length("word") / 2).cast("int")
+    both = [
+        listed.select(F.concat(text, F.lit(END)).alias("w"), first.alias("first"), F.lit(side).alias("side"), F.lit(_root(side)).alias("node"), copies)
+        for side, text, first in ((0, F.col("word"), half), (1, F.reverse("word"), F.length("word") - half))
+    ]
+    state = both[0].unionByName(both[1]).withColumn("salt", salt).drop("copies").withColumns({"pos": F.lit(0), "edits": F.lit(0)})
+    found = None
     for level in range(-1 if deepest is None else deepest + 1):
         here = edges.filter(F.col("level") == level).select("node", "salt", "edges")
-        moved = state.join(here, ["node", "salt"]).select("w", "pos", "edits", F.inline("edges"))
-        moved = moved.select("w", "child", "copies", "word", F.explode(F.expr(_MOVES)).alias("m"))
-        moved = stored(moved.select("w", "m.pos", "m.edits", F.col("child").alias("node"), salt.alias("salt"), "word"), "frontier")
-        ended = moved.filter("node IS NULL").select(F.expr("substring(w, 1, length(w) - 1)").alias("word"), F.col("word").alias("other"))
+        symbol = F.substring("w", F.col("pos") + 1, F.lit(1))
+        bound = (F.col("edits") == 1) | (F.col("pos") < F.col("first"))
+        taken = F.filter("edges", lambda e: ~bound | (F.substring(e["label"], 1, 1) == symbol))  # noqa: B023
+        met = state.join(here, ["node", "salt"]).select("w", "pos", "edits", "first", "side", F.inline(taken))
+        moved = _moves(met).select("w", F.col("to").alias("pos"), F.col("made").alias("edits"), "first", "side", F.col("child").alias("node"), salt.alias("salt"), "word")
+        moved = stored(moved, "frontier")
+        own = F.expr("substring(w, 1, length(w) - 1)")
+        ended = moved.filter("node IS NULL").select(F.when(F.col("side") == 0, own).otherwise(F.reverse(own)).alias("word"), F.col("word").alias("other"))
         found = ended if found is None else found.unionByName(ended)
         state = moved.filter("node IS NOT NULL").drop("word")
     if found is None:
