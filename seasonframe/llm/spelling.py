@@ -20,12 +20,12 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seasonframe.llm.common import MapArrow, chunks, stored
@@ -42,47 +42,62 @@ def _root(side: int) -> bytes:
     return xxhash.xxh3_128(bytes([side])).digest()
 
 
-_RUN = re.compile("[A-Za-zÀ-ÿ]+")
+_LETTER = re.compile("[A-Za-zÀ-ÿ]")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _PIECE = 1 << 22
 _HELD = 1 << 18
 
 
-def _counter(text: str) -> Counter:
-    """Runs of letters of a text, taken in pieces that end between runs."""
+def _counter(text: str, runs: re.Pattern) -> Counter:
+    """How often each of the runs occurs in a text, which is taken in pieces that end between runs."""
+    if len(text) <= _PIECE:
+        return Counter(runs.findall(text))
     out, first = Counter(), 0
     while first < len(text):
         last = first + _PIECE
-        while last < len(text) and _RUN.match(text, last - 1, last):
+        while last < len(text) and _LETTER.match(text, last - 1, last):
             last += 1
-        out.update(_RUN.findall(text, first, last))
+        out.update(runs.findall(text, first, last))
         first = last
     return out
 
 
 def _count(least: int, slips: int | None) -> MapArrow:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, int] = defaultdict(int)
+        # A run as it stands in the text, with its lower-cased form, that in bytes, and its count.
+        runs = re.compile(f"[A-Za-zÀ-ÿ]{{{max(1, least)},}}")
+        held: dict[str, list] = {}
+        slipped: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"word": pa.array(list(held), pa.string()), "n": pa.array(list(held.values()), pa.int64())})
+            words = [*(form[0] for form in held.values()), *slipped]
+            counts = [*(form[2] for form in held.values()), *slipped.values()]
+            held.clear()
+            slipped.clear()
+            return pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "n": pa.array(counts, pa.int64())})
 
+        crc32 = zlib.crc32
         for batch, texts in chunks(batches):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                start = zlib.crc32(f"{doc_id}:".encode())
-                for word, n in _counter((text or b"").decode("utf-8", "replace")).items():
-                    if len(word) < least:
-                        continue
-                    word = word.translate(_LOWER)
-                    if slips and doc_id is not None:
-                        h = zlib.crc32(word.encode(), start)
-                        if h % slips == 0:
-                            word = word[: h % len(word)] + word[h % len(word) + 1 :]
-                    if len(word) >= least:
-                        held[word] += n
+                if not text:
+                    continue
+                start = crc32(f"{doc_id}:".encode())
+                slips_here = slips if doc_id is not None else None
+                for run, n in _counter(text.decode("utf-8", "replace"), runs).items():
+                    form = held.get(run)
+                    if form is None:
+                        word = run if run.islower() else run.translate(_LOWER)
+                        form = held[run] = [word, word.encode(), 0]
+                    if slips_here:
+                        h = crc32(form[1], start)
+                        if h % slips_here == 0:
+                            word, at = form[0], h % len(form[0])
+                            if len(word) > least:
+                                slipped[word[:at] + word[at + 1 :]] += n
+                            continue
+                    form[2] += n
                 if len(held) >= _HELD:
                     yield out()
-                    held.clear()
         yield out()
 
     return count
@@ -96,7 +111,7 @@ def vocabulary(docs: DataFrame, least_length: int = 6, least_count: int = 5, sli
     it has lost the code point at that crc32 modulo its length: misspellings of a known rate.
     NULL texts have no words; rows without doc_id lose nothing; every row counts.
     """
-    found = docs.select("doc_id", "text").mapInArrow(_count(least_length, slips), "word string, n long")
+    found = docs.select("doc_id", "text").mapInArrow(_count(least_length, slips), "word string, n long").filter("n > 0")
     return found.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_count)
 
 
@@ -164,12 +179,16 @@ AND levenshtein(substring(w, pos + {_FREE} + 1, length(label) - {_FREE} + {{d}})
 
 def _moves(states: DataFrame) -> DataFrame:
     """States with the edges they may take, moved along labels that match, and along those one edit away."""
-    ways = [F.struct((F.expr("pos + length(label)")).alias("to"), F.col("edits").alias("made"), F.expr(_STEP).alias("fits"))]
-    for d in (-1, 0, 1):
-        ways.append(F.struct(F.expr(f"pos + length(label) + {d}").alias("to"), F.lit(1).alias("made"), F.expr(_EDIT.format(d=d)).alias("fits")))
-    moved = states.select("w", "first", "side", "child", "copies", "next", "word", F.inline(F.array(*ways))).filter("fits")
-    goes_on = "CASE WHEN child IS NULL THEN made = 1 AND to = length(w) ELSE made = 0 OR array_contains(next, substring(w, to + 1, 1)) END"
-    return moved.filter(goes_on)
+
+    def way(fits: str, shift: int, made: str) -> Column:
+        to = f"(pos + length(label) + {shift})"
+        leaf = f"{made} = 1 AND {to} = length(w)"
+        on = f"{made} = 0 OR array_contains(next, substring(w, {to} + 1, 1))"
+        goes = F.expr(f"({fits}) AND CASE WHEN child IS NULL THEN {leaf} ELSE {on} END")
+        return F.when(goes, F.struct(F.expr(to).alias("to"), F.expr(made).alias("made")))
+
+    ways = F.array_compact(F.array(way(_STEP, 0, "edits"), *[way(_EDIT.format(d=d), d, "1") for d in (-1, 0, 1)]))
+    return states.select("w", "first", "side", "child", "copies", "word", F.inline(ways))
 
 
 def neighbours(words: DataFrame) -> DataFrame:
