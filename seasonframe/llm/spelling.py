@@ -8,7 +8,7 @@ thus on an edge of its own, a leaf.
 All words walk down from the root at once. The frontier holds ``(word, position, node,
 edits)``; joined with the edges of its level it moves on along labels that match, and, while
 no edit is made, along those that match after one. A state with an edit goes on only where
-the node below continues with the word's next letter. States that reach a leaf with just the
+the node below continues with the word's next letters. States that reach a leaf with just the
 one edit are neighbours.
 
 Near the root everything branches, so no edits are made there: a word whose edit lies in its
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seasonframe.llm.common import MapArrow, chunks, stored
@@ -42,6 +42,9 @@ def _root(side: int) -> bytes:
     return xxhash.xxh3_128(bytes([side])).digest()
 
 
+FAR = 3
+"""Symbols from which on a node tells two symbols of how its words go on, not one."""
+
 _LETTER = re.compile("[A-Za-zÀ-ÿ]")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _PIECE = 1 << 22
@@ -116,7 +119,7 @@ def vocabulary(docs: DataFrame, least_length: int = 6, least_count: int = 5, sli
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All prefixes of each word, read from either side, with the symbol that comes next; a digest stands for a prefix."""
+    """All prefixes of each word, read from either side, with the two symbols that come next; a digest stands for a prefix."""
     schema = pa.schema([("id", pa.int64()), ("side", pa.int8()), ("at", pa.int32()), ("node", pa.binary()), ("next", pa.string())])
     for batch in batches:
         rows = []
@@ -125,8 +128,9 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raise ValueError("a word holds the end mark")
             for side, text in ((0, word), (1, word[::-1])):
                 state = xxhash.xxh3_128(bytes([side]))
-                for at, symbol in enumerate(text + END):
-                    rows.append((k, side, at, state.digest(), symbol))
+                text += END
+                for at, symbol in enumerate(text):
+                    rows.append((k, side, at, state.digest(), text[at : at + 2]))
                     state.update(symbol.encode())
                     if len(rows) >= _HELD:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
@@ -138,16 +142,24 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def trie(words: DataFrame) -> DataFrame:
     """The edge table of both tries: ``level, node, salt, edges``, a row for each node and salt.
 
-    ``words`` has ``id, word``. An edge has ``label, child, copies, next, word``: the node below it with
-    its number of salts and the symbols that its edges begin with, or the word that ends on it.
+    ``words`` has ``id, word``. An edge has ``label, child, copies, next, width, word``: the node below it with
+    its number of salts and the ``width`` symbols that words go on with there, or the word that ends
+    on it.
     ``level`` counts the edges from the root.
     """
     prefixes = stored(words.mapInArrow(_prefixes, "id long, side byte, at int, node binary, next string"), "prefixes")
     # A root is a node whether it goes on in one way or more.
+    symbol = F.substring("next", 1, 1)
     info = prefixes.groupBy("node").agg(
-        F.count("*").alias("words"), F.array_sort(F.collect_set("next")).alias("next"), F.min("at").alias("at")
+        F.count("*").alias("words"), F.collect_set("next").alias("pairs"), F.min("at").alias("at"), F.min(symbol).alias("low"), F.max(symbol).alias("high")
+    )
+    # Near the root there are few edits to look ahead for, and many pairs.
+    singles = F.array_distinct(F.transform("pairs", lambda x: F.substring(x, 1, 1)))
+    far = F.col("at") >= FAR
+    info = info.filter("low <> high OR at = 0").select(
+        "node", "words", F.when(far, F.col("pairs")).otherwise(singles).alias("next"), F.when(far, 2).otherwise(1).alias("width")
     )
-    info = stored(info.filter("size(next) > 1 OR at = 0"), "nodes")
+    info = stored(info, "nodes")
     passed = salted_lookup(prefixes.select("id", "side", "at", "node"), info.select("node", "words"), ["node"], ["id"], "inner")
     path = passed.groupBy("id", "side").agg(F.array_sort(F.collect_list(F.struct("at", "node", "words"))).alias("path"))
     steps = path.join(words, "id").select(F.concat(F.when(F.col("side") == 0, F.col("word")).otherwise(F.reverse("word")), F.lit(END)).alias("w"), F.col("word").alias("whole"), "path", F.posexplode("path").alias("level", "step"))
@@ -159,8 +171,8 @@ def trie(words: DataFrame) -> DataFrame:
         F.when(below.isNull(), F.col("whole")).alias("word"),
     )
     edges = stored(steps.distinct(), "edges")
-    edges_below = edges.join(info.select(F.col("node").alias("child"), "next"), "child", "left")
-    entry = F.struct("label", "child", "copies", "next", "word")
+    edges_below = edges.join(info.select(F.col("node").alias("child"), "next", "width"), "child", "left")
+    entry = F.struct("label", "child", "copies", "next", "width", "word")
     nodes = edges_below.groupBy("level", "node").agg(F.collect_list(entry).alias("edges"))
     root = edges.filter("level = 0").select("node", "copies").distinct()
     above = edges.filter("child IS NOT NULL").select(F.col("child").alias("node"), "copies").unionByName(root)
@@ -179,16 +191,12 @@ AND levenshtein(substring(w, pos + {_FREE} + 1, length(label) - {_FREE} + {{d}})
 
 def _moves(states: DataFrame) -> DataFrame:
     """States with the edges they may take, moved along labels that match, and along those one edit away."""
-
-    def way(fits: str, shift: int, made: str) -> Column:
-        to = f"(pos + length(label) + {shift})"
-        leaf = f"{made} = 1 AND {to} = length(w)"
-        on = f"{made} = 0 OR array_contains(next, substring(w, {to} + 1, 1))"
-        goes = F.expr(f"({fits}) AND CASE WHEN child IS NULL THEN {leaf} ELSE {on} END")
-        return F.when(goes, F.struct(F.expr(to).alias("to"), F.expr(made).alias("made")))
-
-    ways = F.array_compact(F.array(way(_STEP, 0, "edits"), *[way(_EDIT.format(d=d), d, "1") for d in (-1, 0, 1)]))
-    return states.select("w", "first", "side", "child", "copies", "word", F.inline(ways))
+    ways = [F.struct(F.expr("pos + length(label)").alias("to"), F.col("edits").alias("made"), F.expr(_STEP).alias("fits"))]
+    for d in (-1, 0, 1):
+        ways.append(F.struct(F.expr(f"pos + length(label) + {d}").alias("to"), F.lit(1).alias("made"), F.expr(_EDIT.format(d=d)).alias("fits")))
+    moved = states.select("w", "first", "side", "child", "copies", "next", "width", "word", F.inline(F.array(*ways))).filter("fits")
+    goes_on = "CASE WHEN child IS NULL THEN made = 1 AND to = length(w) ELSE made = 0 OR array_contains(next, substring(w, to + 1, width)) END"
+    return moved.filter(goes_on)
 
 
 def neighbours(words: DataFrame) -> DataFrame:
