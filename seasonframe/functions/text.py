@@ -48,3 +48,8 @@ def document_key(key: Column, position: Column | None = None) -> Column:
     return F.when(number < 4294967295, F.concat(F.lit("0"), F.lpad(key, 10, "0"))).otherwise(
         F.concat(F.lit("1"), F.coalesce(tail, F.lit("")))
     )
+
+
+def player_key(season: str, player_id: str) -> Column:
+    """One text for a player of a season, so that a join needs no second column."""
+    return F.concat_ws("/", F.col(season).cast("string"), player_id)

@@ -32,6 +32,38 @@ def manifest_upsert(manifest: DataFrame, updates: DataFrame) -> DataFrame:
     return joined.select(*cols)
 
 
+def is_recorded(manifest: DataFrame, stored_n: Column) -> Column:
+    """Whether a looked-up entry exists and tells the stored count, if it tells any.
+
+    To be used on the rows of ``manifest_lookup`` with ``listed``.
+    """
+    listed = F.col("listed").isNotNull()
+    return listed & F.col("recordCount").eqNullSafe(stored_n) if "recordCount" in manifest.columns else listed
+
+
+def listed(manifest: DataFrame, *columns: str) -> DataFrame:
+    """The entries' columns that plans look up, with ``listed`` set."""
+    kept = [c for c in (*columns, "recordCount") if c in manifest.columns]
+    return manifest.select("path", *kept, F.lit(True).alias("listed"))
+
+
+def reconcile(stored: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``path, storedCount, recordCount, state`` of all that is stored or listed.
+
+    ``stored`` has ``path, storedCount``. An entry is ``ok``, ``stale`` (another count), ``missing``
+    (stored but not listed) or an ``orphan`` (listed but not stored).
+    """
+    have, told = F.col("storedCount").isNotNull(), F.col("listed").isNotNull()
+    state = (
+        F.when(have & ~told, "missing")
+        .when(told & ~have, "orphan")
+        .when(F.col("recordCount").eqNullSafe(F.col("storedCount")), "ok")
+        .otherwise("stale")
+    )
+    both = stored.select("path", "storedCount").join(listed(manifest), "path", "full")
+    return both.select("path", "storedCount", "recordCount", state.alias("state"))
+
+
 def manifest_lookup(partitions: DataFrame, manifest: DataFrame, columns: Sequence[str] = ("inProgress",)) -> DataFrame:
     """Partitions with a ``path`` column, joined to their manifest fields (NULL without entry)."""
     return partitions.join(manifest.select("path", *columns), "path", "left")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seasonframe.constants import POINTS_TOLERANCE
-from seasonframe.functions import document_key
+from seasonframe.functions import document_key, player_key
 
 
 def _record_text(df: DataFrame, skip: Sequence[str]) -> Column:
@@ -34,20 +34,33 @@ def season_diff(
     """One row per season and player: ``status`` added, removed, changed or unchanged.
 
     Only points count as a change, and only beyond the tolerance. ``compare='all'``
-    also reports records that differ in any other field.
+    also reports records that differ in any other field. Where ``old`` has a ``player_key``, as
+    tables stored in its buckets do, rows meet by it alone and only ``new`` is shuffled.
     """
     keys = ["season", "player_id"]
+    stored_key = "player_key" in old.columns
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        cols = [*keys, F.coalesce("fantasyPoints", F.lit(0.0)).alias(f"{name}_points")]
+        if stored_key:
+            key = F.col("player_key") if name == "old" else player_key("season", "player_id")
+            df = df.select(key.alias("player_key"), *[F.col(c) for c in df.columns if c != "player_key"])
+        cols = [*(["player_key"] if stored_key else []), *keys, F.coalesce("fantasyPoints", F.lit(0.0)).alias(f"{name}_points")]
         if compare == "all":
-            cols.append(_record_text(df, [*keys, "ord"]).alias(f"{name}_text"))
+            cols.append(_record_text(df, [*keys, "ord", "player_key"]).alias(f"{name}_text"))
         if name == "old":
             position = F.col("ord") if "ord" in df.columns else None
             cols.append(document_key(F.col("player_id"), position).alias("sort_key"))
         return df.select(*cols, F.lit(True).alias(f"in_{name}"))
 
-    both = side(old, "old").join(side(new, "new"), keys, "full")
+    if stored_key:
+        o, n = side(old, "old").alias("o"), side(new, "new").alias("n")
+        both = o.join(n, F.col("o.player_key") == F.col("n.player_key"), "full")
+        both = both.select(
+            *[F.coalesce(F.col(f"o.{k}"), F.col(f"n.{k}")).alias(k) for k in keys],
+            *[f"{s}.{c}" for s, df in (("o", o), ("n", n)) for c in df.columns if c not in (*keys, "player_key")],
+        )
+    else:
+        both = side(old, "old").join(side(new, "new"), keys, "full")
     delta = F.abs(F.col("new_points") - F.col("old_points"))
     differs = delta > tolerance
     if compare == "all":
@@ -123,15 +136,20 @@ def count_plan_input(old: DataFrame, new: DataFrame, by: Sequence[str]) -> DataF
     )
 
 
-def publish_action(has_old: Column, identical: Column, in_progress: Column, force: bool = False) -> Column:
+def publish_action(
+    has_old: Column, identical: Column, in_progress: Column, force: bool = False, recorded: Column | None = None
+) -> Column:
     """What to do with a partition.
 
     ``in_progress`` is the flag of its manifest entry, NULL without one; a partition
-    that has no entry is never refused.
+    that has no entry is never refused. ``recorded`` says whether the manifest tells what is
+    stored: where it doesn't, as after a run that died between its write and its index, an
+    identical partition is indexed instead of skipped.
     """
     complete = F.coalesce(~in_progress, F.lit(False))
     return (
         F.when(~has_old, "write")
+        .when(identical & ~(F.lit(True) if recorded is None else recorded), "index")
         .when(identical, "skip")
         .when(complete & F.lit(not force), "refuse")
         .otherwise("write")

@@ -11,6 +11,7 @@ from seasonframe.constants import OVERLAY_PREFIX, OVERLAY_TYPES
 from seasonframe.functions import canonical_json, entry_digest
 from seasonframe.operators.skew import salted_lookup
 from seasonframe.schemas import OVERLAY_ENTRIES
+from seasonframe.storage import materialize
 
 CHUNK = 10_000
 
@@ -112,11 +113,13 @@ def entry_diff(
 def lag_in_order(df: DataFrame, key: str, order: str, value: str, out: str) -> DataFrame:
     """``lag(value)`` per key without putting a whole key into one task.
 
-    ``order`` is a unique LONG. Rows are cut into chunks of the order; each chunk is
-    lagged on its own, and its first row takes the last value of the nearest earlier
-    chunk of the key, which is looked up in a table of one row per key and chunk.
+    ``order`` is unique; its values may lie anywhere. A sort by it deals all rows out evenly,
+    whatever their keys, and numbers them in each part, so that each chunk of numbers is full but
+    for the last of a part. Chunks are lagged on their own; the first row of a key in a chunk
+    takes the last value of the nearest earlier chunk of the key, which is looked up in a table
+    of one row per key and chunk. The sorted rows are stored: numbers made twice might differ.
     """
-    chunked = df.withColumn("_chunk", F.floor(F.col(order) / CHUNK))
+    chunked = materialize(df.orderBy(order).withColumn("_chunk", F.expr(f"monotonically_increasing_id() div {CHUNK}")))
     inner = Window.partitionBy(key, "_chunk").orderBy(order)
     outer = Window.partitionBy(key).orderBy("_chunk")
     lasts = (

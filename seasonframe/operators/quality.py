@@ -236,6 +236,21 @@ def array_document_rules(documents: DataFrame, dataset: str, rule_id: str) -> Da
     return apply_rules(documents, dataset, F.col("partition"), [rule], phase=0)
 
 
+def quarantine_rules(aside: DataFrame, dataset: str) -> DataFrame:
+    """Nothing of a partition was put aside when it was landed.
+
+    The shape rules (DQ-12, DQ-16) speak of documents that are no array or cut off, the type rule
+    (FN-18) of records. One row for each partition, file and reason, with the first position.
+    """
+    found = aside.groupBy("partition", "file", "reason").agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("at"))
+    shape = {"college": "DQ-12", "market": "DQ-16"}.get(dataset, "DQ-0")
+    whole = F.col("reason") == "document"
+    document = Rule(shape, whole, F.col("reason"), "array", _text(F.col("file"), " is not an array"))
+    record = Rule("FN-18", ~whole, F.col("n"), "0",
+                  _text(F.col("file"), ": ", F.col("n"), " records put aside (", F.col("reason"), "), the first at ", F.col("at")))
+    return apply_rules(found, dataset, F.col("partition"), [document, record], phase=0, key=F.col("file"), sort_key=F.col("file"))
+
+
 # College rows ---------------------------------------------------------------------------
 
 

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from seasonframe import schemas as S
 from seasonframe.functions import canonical_json, multiset_fingerprint
-from seasonframe.operators.catalog import manifest_lookup
+from seasonframe.operators.catalog import is_recorded, listed
 from seasonframe.operators.diff import count_plan_input, publish_action
 from seasonframe.operators.quality import college_rules, enforce
+from seasonframe.plans.landing import refuse_quarantined
 from seasonframe.plans.warehouse import (
-    Warehouse, index, materialize, stored_manifest, write_partitions,
+    Warehouse, index_counted, materialize, stored_manifest, write_partitions,
 )
 from seasonframe.sources.tables import read_or_empty
 
@@ -49,9 +50,12 @@ def college_plan(
     else:
         base = _fingerprint_input(stored, rows)
     path = F.concat_ws("/", F.lit("college"), "category", F.col("season").cast("string"))
-    keyed = manifest_lookup(base.withColumn("path", path), manifest)
-    action = publish_action(F.col("old_n").isNotNull(), F.col("identical"), F.col("inProgress"), force)
-    return keyed.select(*PART, "path", "old_n", "new_n", action.alias("action"))
+    entries = listed(manifest, "inProgress").withColumnRenamed("inProgress", "was_in_progress")
+    keyed = base.withColumn("path", path).join(entries, "path", "left")
+    action = publish_action(
+        F.col("old_n").isNotNull(), F.col("identical"), F.col("was_in_progress"), force, is_recorded(entries, F.col("old_n"))
+    )
+    return keyed.select(*PART, "path", "old_n", "new_n", F.lit(False).alias("inProgress"), action.alias("action"))
 
 
 def publish_college(
@@ -68,10 +72,12 @@ def publish_college(
 ) -> DataFrame:
     """Check, compare and write; returns the plan that was carried out.
 
-    ``partitions`` are the categories and seasons the run is for; one without rows fails.
+    ``partitions`` are the categories and seasons the run is for; one without rows fails, and one
+    of which a document or a record was put aside when it was landed.
     """
     rows = materialize(rows)
     expected = spark.createDataFrame([(f"{c}/{s}",) for c, s in partitions], "partition STRING")
+    refuse_quarantined(spark, wh, "college", [f"{c}/{s}" for c, s in partitions])
     enforce(college_rules(rows, partitions=expected, **limits))
     stored = read_or_empty(spark, wh.college, S.COLLEGE_STATS)
     plan = materialize(
@@ -79,12 +85,10 @@ def publish_college(
     )
     if dry_run:
         return plan
-    chosen = plan.filter("action = 'write'")
-    if chosen.isEmpty():
-        return plan
-    write_partitions(
-        rows.join(chosen.select(*PART), PART, "left_semi"), wh.college, PART, ["playerId", "statType"]
-    )
-    written = chosen.select("path", F.col("new_n").alias("recordCount"), F.lit(False).alias("inProgress"))
-    index(spark, wh, written, run_time)
+    chosen = plan.filter("action = 'write'").select(*PART).collect()  # as many as the run is for
+    counts = {}
+    if chosen:
+        kept = rows.join(plan.filter("action = 'write'").select(*PART), PART, "left_semi")
+        counts = write_partitions(kept, wh.college, PART, ["playerId", "statType"], chosen)
+    index_counted(spark, wh, plan, counts, run_time)
     return plan

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,25 +12,30 @@ from seasonframe import schemas as S
 from seasonframe.constants import OVERLAY_TYPES
 from seasonframe.operators import overlay as O
 from seasonframe.operators.quality import enforce, overlay_entry_violations, overlay_violations
-from seasonframe.plans.warehouse import (
-    Warehouse, index, materialize, read_version, write_version,
-)
+from seasonframe.plans.versions import publish_version
+from seasonframe.plans.warehouse import Warehouse, index, materialize, read_version
 from seasonframe.sources.tables import read_or_empty
 
 
 def stored_overlay(spark: SparkSession, wh: Warehouse, kind: str) -> DataFrame:
     """Entries of a type; none before its first write."""
-    return read_version(spark, wh.overlay(kind), "ord LONG, " + S.ddl(S.OVERLAY_ENTRIES[kind]))
+    return read_version(spark, wh.overlay(kind), _schema(kind))
 
 
-def _write(spark: SparkSession, wh: Warehouse, kind: str, entries: DataFrame, run_time: datetime) -> DataFrame:
-    """Write a version and return its manifest row."""
-    write_version(entries, wh.overlay(kind), run_time)
-    return stored_overlay(spark, wh, kind).agg(
-        F.lit(f"overlay/{kind}").alias("path"),
-        F.count(F.lit(1)).alias("recordCount"),
-        F.lit(False).alias("inProgress"),
-    )
+def _schema(kind: str) -> str:
+    return "ord LONG, " + S.ddl(S.OVERLAY_ENTRIES[kind])
+
+
+def _publish(spark: SparkSession, wh: Warehouse, kind: str, change: Callable[[DataFrame], DataFrame | None], run_time: datetime) -> None:
+    """Change the newest version of a type, and tell the manifest its count."""
+    if publish_version(spark, wh.overlay(kind), _schema(kind), change, run_time) is None:
+        return
+
+    def counted() -> DataFrame:
+        rows = stored_overlay(spark, wh, kind).agg(F.count(F.lit(1)).alias("recordCount"))
+        return rows.select(F.lit(f"overlay/{kind}").alias("path"), "recordCount", F.lit(False).alias("inProgress"))
+
+    index(spark, wh, counted, run_time)
 
 
 def upsert_entries(
@@ -56,13 +62,18 @@ def upsert_entries(
     enforce(
         overlay_entry_violations(proposed, kind, current_year, totals=totals, players=players)
     )
-    existing = stored_overlay(spark, wh, kind)
-    plan = materialize(O.upsert_plan(existing, proposed, kind, force))
-    changes = plan.filter("action IN ('added', 'updated')")
-    if dry_run or changes.isEmpty():
-        return plan
-    index(spark, wh, _write(spark, wh, kind, O.upsert_result(existing, proposed, kind, force), run_time), run_time)
-    return plan
+    if dry_run:
+        return materialize(O.upsert_plan(stored_overlay(spark, wh, kind), proposed, kind, force))
+    made = []
+
+    def change(existing: DataFrame) -> DataFrame | None:
+        made.append(materialize(O.upsert_plan(existing, proposed, kind, force)))
+        if made[-1].filter("action IN ('added', 'updated')").isEmpty():
+            return None
+        return O.upsert_result(existing, proposed, kind, force)
+
+    _publish(spark, wh, kind, change, run_time)
+    return made[-1]
 
 
 def validate_overlays(
@@ -88,11 +99,7 @@ def remove_by_id(
     if dry_run:
         return targets
     affected = [r.overlay for r in targets.filter("found").select("overlay").distinct().collect()]
-    rows = None
     for kind in affected:  # at most the four types
         gone = targets.filter(F.col("overlay") == kind).select("id")
-        row = _write(spark, wh, kind, overlays[kind].join(gone, "id", "left_anti"), run_time)
-        rows = row if rows is None else rows.union(row)
-    if rows is not None:
-        index(spark, wh, rows, run_time)
+        _publish(spark, wh, kind, lambda entries, gone=gone: entries.join(gone, "id", "left_anti"), run_time)
     return targets

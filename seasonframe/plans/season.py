@@ -10,14 +10,21 @@ from pyspark.sql import functions as F
 
 from seasonframe import constants as K
 from seasonframe import schemas as S
-from seasonframe.operators.catalog import manifest_lookup
+from seasonframe.functions import player_key
+from seasonframe.operators.catalog import is_recorded, listed
 from seasonframe.operators.diff import diff_counts, publish_action, season_diff
 from seasonframe.operators.quality import default_sentinels, enforce, season_rules
 from seasonframe.operators.totals import season_totals
+from seasonframe.plans.buckets import BucketedTable
 from seasonframe.plans.warehouse import (
-    Warehouse, index, materialize, stored_manifest, write_partitions,
+    Warehouse, index_counted, materialize, stored_manifest,
 )
-from seasonframe.sources.tables import read_or_empty
+
+
+def season_table(spark: SparkSession, wh: Warehouse) -> BucketedTable:
+    """Stored totals, in buckets of player and season: the side of a comparison that stays where it is."""
+    schema = f"{S.SEASON_TOTALS}, player_key STRING"
+    return BucketedTable(spark, wh.season_totals, schema, ["season"], "player_key", wh.buckets)
 
 
 def season_plan(
@@ -35,13 +42,11 @@ def season_plan(
     changes = diff_counts(season_diff(stored, totals, compare=compare)).drop("unchanged")
     rows = new.join(old, "season", "left").join(changes, "season", "left")
     path = F.concat(F.lit("season_totals/"), F.col("season").cast("string"))
-    keyed = manifest_lookup(
-        rows.withColumn("path", path),
-        manifest.withColumnRenamed("inProgress", "was_in_progress"),
-        ["was_in_progress"],
-    )
+    entries = listed(manifest, "inProgress").withColumnRenamed("inProgress", "was_in_progress")
+    keyed = rows.withColumn("path", path).join(entries, "path", "left")
     action = publish_action(
-        F.col("old_n").isNotNull(), F.col("identical"), F.col("was_in_progress"), force
+        F.col("old_n").isNotNull(), F.col("identical"), F.col("was_in_progress"), force,
+        is_recorded(entries, F.col("old_n")),
     )
     return keyed.select(
         "season", "path", "old_n", "new_n", "added", "removed", "changed",
@@ -70,13 +75,16 @@ def publish_seasons(
     change are refused without ``force``. Totals are materialized once because the
     checks, the comparison and the write all read them; the plan is materialized
     before the write because the write changes what it was made from. A run that dies
-    half-way can simply be repeated: unchanged seasons are skipped.
+    half-way can simply be repeated: unchanged seasons are skipped, or only indexed where the
+    manifest doesn't tell what is stored.
     """
     totals = materialize(season_totals(entries))
     expected = spark.createDataFrame([(s,) for s in seasons], "season INT")
-    listed = default_sentinels(spark) if sentinels is None else sentinels
-    enforce(season_rules(totals, listed, expected, **limits))
-    stored = read_or_empty(spark, wh.season_totals, S.SEASON_TOTALS)
+    regulars = default_sentinels(spark) if sentinels is None else sentinels
+    enforce(season_rules(totals, regulars, expected, **limits))
+    table = season_table(spark, wh)
+    at_hand = {*seasons, *(r[0] for r in totals.select("season").distinct().collect())}
+    stored = table.read().filter(F.col("season").isin(*sorted(at_hand)))
     plan = materialize(
         season_plan(
             totals, stored, stored_manifest(spark, wh), current_season, force=force, compare=compare
@@ -84,13 +92,10 @@ def publish_seasons(
     )
     if dry_run:
         return plan
-    chosen = plan.filter("action = 'write'")
-    if chosen.isEmpty():
-        return plan
-    write_partitions(
-        totals.join(chosen.select("season"), "season", "left_semi"),
-        wh.season_totals, ["season"], ["player_id"],
-    )
-    written = chosen.select("path", F.col("new_n").alias("recordCount"), "inProgress")
-    index(spark, wh, written, run_time, K.SEASON_SCHEMA_VERSION)
+    chosen = plan.filter("action = 'write'").select("season").collect()  # as many as the run is for
+    counts = {}
+    if chosen:
+        rows = totals.join(plan.filter("action = 'write'").select("season"), "season", "left_semi")
+        counts = table.write(rows.withColumn("player_key", player_key("season", "player_id")), chosen)
+    index_counted(spark, wh, plan, counts, run_time, K.SEASON_SCHEMA_VERSION)
     return plan

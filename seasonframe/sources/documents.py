@@ -36,6 +36,12 @@ def array_documents(docs: DataFrame, row: str) -> DataFrame:
     return rows.select(*keep, F.col("ord").cast("long").alias("ord"), "record.*")
 
 
+def numbered_files(docs: DataFrame, by: list[str]) -> DataFrame:
+    """``by, file, nth``: the files of each partition counted from 0 in the order of their names."""
+    order = Window.partitionBy(*by).orderBy("file")
+    return docs.select(*by, "file").withColumn("nth", F.row_number().over(order) - 1)
+
+
 def read_weekly(spark: SparkSession, path: str) -> DataFrame:
     """Weekly entries from ``path/season=Y/week=W/<files>``, each an array of entries.
 
@@ -46,8 +52,7 @@ def read_weekly(spark: SparkSession, path: str) -> DataFrame:
     if "season" not in docs.columns:
         return spark.createDataFrame([], S.WEEKLY_ENTRIES)
     docs = docs.select("value", "file", F.col("season").cast("int"), F.col("week").cast("int"))
-    by_name = Window.partitionBy("season", "week").orderBy("file")
-    names = docs.select("season", "week", "file").withColumn("nth", F.row_number().over(by_name) - 1)
+    names = numbered_files(docs, ["season", "week"])
     rows = array_documents(docs, S.WEEKLY_DOCUMENT).join(names, ["season", "week", "file"])
     rows = rows.withColumn("ord", F.col("nth").cast("long") * (1 << 32) + F.col("ord"))
     return usable_entries(rows).select("season", "week", "ord", "player_id", "team", "stats")
@@ -69,9 +74,9 @@ def read_college(spark: SparkSession, path: str) -> DataFrame:
 
 
 def college_documents(spark: SparkSession, path: str) -> DataFrame:
-    """``partition, value`` of the raw college files, for the shape rule."""
+    """``partition, file, value`` of the raw college files, for the shape rule."""
     part = F.regexp_extract("file", r"([^/]+/[^/]+)\.json$", 1)
-    return path_or_empty(spark, path).select(part.alias("partition"), "value")
+    return path_or_empty(spark, path).select(part.alias("partition"), "file", "value")
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:

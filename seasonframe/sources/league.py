@@ -10,11 +10,15 @@ from seasonframe.sources.documents import array_documents
 from seasonframe.sources.tables import path_or_empty
 
 
-def read_leagues(spark: SparkSession, path: str) -> DataFrame:
-    docs = path_or_empty(spark, path)
+def league_documents(docs: DataFrame) -> DataFrame:
+    """A league of each document in ``value``."""
     return docs.select(F.from_json("value", S.LEAGUE).alias("l")).select("l.*")
 
 
+def read_leagues(spark: SparkSession, path: str) -> DataFrame:
+    return league_documents(path_or_empty(spark, path))
+
+
 def _rows(spark: SparkSession, path: str, row: str) -> DataFrame:
     return array_documents(path_or_empty(spark, path).select("value"), row)
 

@@ -57,5 +57,7 @@ def test_publish_action(spark):
     df = spark.createDataFrame(cases, "o BOOLEAN, i BOOLEAN, p BOOLEAN, want STRING")
     got = df.select("want", publish_action(F.col("o"), F.col("i"), F.col("p")).alias("a")).collect()
     assert all(r.want == r.a for r in got)
+    unrecorded = df.select("want", publish_action(F.col("o"), F.col("i"), F.col("p"), recorded=F.lit(False)).alias("a")).collect()
+    assert all(r.a == {"skip": "index"}.get(r.want, r.want) for r in unrecorded)
     forced = df.filter("want = 'refuse'").select(publish_action(F.col("o"), F.col("i"), F.col("p"), True).alias("a"))
     assert forced.first().a == "write"

@@ -3,11 +3,13 @@ import random
 from hashlib import sha1
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seasonframe import schemas as S
 from seasonframe.operators import injuries as I
 from seasonframe.operators import overlay as O
+from seasonframe.storage import materialize
 
 
 def entries(spark, kind, rows):
@@ -180,3 +182,20 @@ def test_all_injuries_of_a_segment(spark):
     noted = entries(spark, "injuries", [{**base, "id": "a", "segmentEndWeek": 3}, {**base, "id": "b"}, {**base, "id": "c", "segmentEndWeek": 1}])
     out = sorted((r.player_id, r.week, r.id) for r in I.injury_weeks(noted, totals).collect())
     assert out == [("1", 2, "a"), ("1", 2, "b"), ("1", 3, "a"), ("1", 3, "b"), ("1", 4, "b"), ("2", 5, None)]
+
+
+def test_sparse_order_makes_full_chunks(spark, monkeypatch):
+    monkeypatch.setattr(O, "CHUNK", 50)
+    n = 6000
+    # Orders far apart, and a third of the rows on one key.
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 400).cast("string"))).alias("k"),
+        F.abs(F.xxhash64("id")).alias("o"), F.col("id").alias("v"),
+    )
+    seen = []
+    monkeypatch.setattr(O, "materialize", lambda rows: seen.append(materialize(rows)) or seen[-1])
+    found = O.lag_in_order(df, "k", "o", "v", "before")
+    plain = df.withColumn("before", F.lag("v").over(Window.partitionBy("k").orderBy("o")))
+    assert sorted(map(tuple, found.select("k", "o", "v", "before").collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    chunks = seen[0].groupBy("_chunk").count().collect()
+    assert max(r["count"] for r in chunks) <= 50 and len(chunks) <= n / 50 + 2 * seen[0].rdd.getNumPartitions()
