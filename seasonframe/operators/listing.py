@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,9 @@ POSITION_CLASS = "position-team"
 _TAG = r"<[^>]*>"
 
 
+# Elements without content.
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+
 # Named entities of listing texts.
 ENTITIES = {
     "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "ndash": "\u2013", "mdash": "\u2014",
@@ -61,30 +64,96 @@ def split_blocks(html: Column, block_class: str = BLOCK_CLASS) -> Column:
     return F.filter(pieces, lambda p: p.rlike(f"^{opening}"))
 
 
-def _field(block: Column, cls: str, *path: str) -> Column:
-    """Text of the first element of a class, or of the tag ``path`` inside it."""
-    opening = rf"(?s)<(\w+)\b[^>]*{_has_class(cls)}[^>]*>"
-    steps = "".join(rf".*?<{tag}\b[^>]*>" for tag in path)
-    closing = rf"</{path[-1]}>" if path else r"</\1>"
-    return _plain(F.regexp_extract(block, f"{opening}{steps}(.*?){closing}", 2))
+_CLASSES = r"""class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+
+
+def tokens(html: Column) -> Column:
+    """Array of ``name, step, classes, text``: tags and the texts between them, in order.
+
+    ``step`` is 1 for a tag that opens an element, -1 for one that closes it and 0 for text,
+    comments and elements without content. Names are in lower case; ``classes`` has a blank
+    before and behind each. Comments have no text.
+    """
+    pieces = F.regexp_extract_all(html, F.lit(r"(?s)<!--.*?-->|<[^>]*>|[^<]+"), F.lit(0))
+
+    def token(text: Column) -> Column:
+        name = F.when(text.startswith("<"), F.lower(F.regexp_extract(text, r"^</?([A-Za-z][\w-]*)", 1))).otherwise("")
+        empty = (name == "") | name.isin(*VOID) | text.endswith("/>")
+        step = F.when(empty, 0).when(text.startswith("</"), -1).otherwise(1)
+        said = F.concat(*[F.regexp_extract(text, _CLASSES, i) for i in (1, 2, 3)])
+        classes = F.when(text.startswith("<"), F.concat(F.lit(" "), F.regexp_replace(said, r"\s+", " "), F.lit(" "))).otherwise("")
+        shown = F.when(text.startswith("<!--"), "").otherwise(text)
+        return F.struct(name.alias("name"), step.cast("int").alias("step"), classes.alias("classes"), shown.alias("text"))
+
+    return F.transform(pieces, token)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is used there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def field_html(found: Column, cls: str, *path: str) -> Column:
+    """What is inside the first element of a class, or the first of each tag of ``path``, one inside the other.
+
+    One fold over the tokens. ``stage`` says how much of the path is entered; ``depth`` counts the
+    open elements that have the name of the one entered last, which ends at its own closing tag.
+    Where that is a paragraph it also ends where the next one begins, as one can't hold another.
+    If it ends before the next of the path is found the field is empty; one that is never closed
+    goes on to the end.
+    """
+    whole = len(path) + 1
+    start = F.struct(
+        F.lit(0).alias("stage"), F.lit("").alias("name"), F.lit(0).alias("depth"), F.lit(False).alias("done"), F.lit("").alias("text")
+    )
+
+    def step(state: Column, t: Column) -> Column:
+        stage, own = state["stage"], t["name"] == state["name"]
+        wanted = F.when(stage == 0, F.contains(t["classes"], F.lit(f" {cls} ")))
+        for k, tag in enumerate(path, 1):
+            wanted = wanted.when(stage == k, t["name"] == tag)
+        enters = ~state["done"] & (t["step"] == 1) & F.coalesce(wanted, F.lit(False))
+        over = (stage > 0) & own & (((state["name"] == "p") & (t["step"] == 1)) | ((t["step"] == -1) & (state["depth"] == 1)))
+        # 0: goes in, 1: comes out, 2: neither
+        turn = F.when(enters, 0).when(over, 1).otherwise(2)
+
+        def moved(turn: Column) -> Column:
+            return F.struct(
+                F.when(turn == 0, stage + 1).otherwise(stage).alias("stage"),
+                F.when(turn == 0, t["name"]).otherwise(state["name"]).alias("name"),
+                F.when(turn == 0, 1).when(own, state["depth"] + t["step"]).otherwise(state["depth"]).alias("depth"),
+                (state["done"] | (turn == 1)).alias("done"),
+                F.when((stage == whole) & (turn == 2) & ~state["done"], F.concat(state["text"], t["text"])).otherwise(state["text"]).alias("text"),
+            )
+
+        return _let(turn, moved)
+
+    return F.aggregate(found, start, step, lambda s: s["text"])
 
 
 def listing_rows(pages: DataFrame, keys: Sequence[str] = ("page",)) -> DataFrame:
     """``keys, pos, name, team, value, position`` of every valid block of the pages.
 
-    Native regular expressions over the whole page text; a row without a name or a
-    numeric value is dropped and an empty team is NULL.
+    Blocks are cut from the page text by a pattern and taken apart as a stream of tags, so that a
+    field ends at its own closing tag whatever is nested in it; a row without a name or a
+    numeric value is dropped and an empty team is NULL. The fields pass through ``inline``, which
+    keeps the optimizer from working them out once more for the filter.
     """
     blocks = pages.select(*keys, F.posexplode(split_blocks(F.col("html"))).alias("pos", "block"))
-    block = F.col("block")
-    rows = blocks.select(
-        *keys,
-        "pos",
-        _field(block, NAME_CLASS, "p", "a").alias("name"),
-        F.nullif(_field(block, TEAM_CLASS), F.lit("")).alias("team"),
-        prefix_int(_field(block, VALUE_CLASS, "p")).alias("value"),
-        position_code(_field(block, POSITION_CLASS)).alias("position"),
+    blocks = blocks.select(*keys, "pos", tokens(F.col("block")).alias("found"))
+    found = F.col("found")
+    raw = {
+        "name": field_html(found, NAME_CLASS, "p", "a"), "team": field_html(found, TEAM_CLASS),
+        "value": field_html(found, VALUE_CLASS, "p"), "position": field_html(found, POSITION_CLASS),
+    }
+    blocks = blocks.select(*keys, "pos", F.inline(F.array(F.struct(*[html.alias(f"_{c}") for c, html in raw.items()]))))
+    row = F.struct(
+        _plain(F.col("_name")).alias("name"),
+        F.nullif(_plain(F.col("_team")), F.lit("")).alias("team"),
+        prefix_int(_plain(F.col("_value"))).alias("value"),
+        position_code(_plain(F.col("_position"))).alias("position"),
     )
+    rows = blocks.select(*keys, "pos", F.inline(F.array(row)))
     return rows.filter("name <> '' AND value IS NOT NULL")
 
 

@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from seasonframe.constants import MARKET_MAX_AGE_DAYS, MARKET_MAX_CHANGED
 from seasonframe.functions import canonical_json, multiset_fingerprint, normalized_name
 from seasonframe.operators.dedup import first_seen
+from seasonframe.operators.ranks import dense_ranks
 from seasonframe.operators.skew import salted_lookup
 
 FIELDS = ("name", "team", "value", "position")
 
+TREE_LEVELS = 3
+"""Levels of a content digest's tree above its leaves: with leaves of 10,000 rows, enough for 10 to the 16."""
+
 
 def latest_snapshot(market: DataFrame) -> DataFrame:
     """Rows of the newest snapshot; the date is a scalar subquery, so stored dates are pruned."""
@@ -36,6 +40,31 @@ def fingerprints(market: DataFrame) -> DataFrame:
     return market.groupBy("snapshot_date").agg(*multiset_fingerprint(row))
 
 
+def content_digests(market: DataFrame, leaf: int = 10_000) -> DataFrame:
+    """``snapshot_date, n, digest``: SHA-256 of each snapshot's rows in the order of their names.
+
+    A snapshot of up to ``leaf`` rows has the digest of the JSON array of its rows, sorted by name
+    and then by their text. A larger one is a tree: its rows are cut into leaves of so many, a
+    leaf has the digest of its array, and each level above takes up to ``leaf`` digests together
+    until one is left. The tree depends on the rows alone, not on how they are dealt out, and
+    no task takes more than ``leaf`` of anything.
+    """
+    row = canonical_json({name: F.col(name) for name in FIELDS})
+    rows = market.select("snapshot_date", F.coalesce("name", F.lit("")).alias("name"), row.alias("text"))
+    ranked = dense_ranks(rows, ["snapshot_date"], ["name", "text"])
+    place, size = F.expr(f"rank div {leaf}").alias("place"), F.count(F.lit(1)).alias("size")
+    found = ranked.groupBy("snapshot_date", place).agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("r"), size)
+    array = F.concat(F.lit("["), F.array_join(F.transform("r", lambda r: r["text"]), ","), F.lit("]"))
+    nodes = found.select("snapshot_date", "place", "size", F.sha2(array, 256).alias("digest"))
+    for _ in range(TREE_LEVELS):
+        above = nodes.groupBy("snapshot_date", F.expr(f"place div {leaf}").alias("place"))
+        above = above.agg(F.array_sort(F.collect_list(F.struct("place", "digest"))).alias("r"), F.sum("size").alias("size"))
+        joined = F.array_join(F.transform("r", lambda r: r["digest"]), "")
+        only = (F.size("r") == 1) & (F.col("place") == 0)  # all that the snapshot has
+        nodes = above.select("snapshot_date", "place", "size", F.when(only, F.get("r", F.lit(0))["digest"]).otherwise(F.sha2(joined, 256)).alias("digest"))
+    return nodes.select("snapshot_date", F.col("size").alias("n"), "digest")
+
+
 def snapshot_changes(market: DataFrame) -> DataFrame:
     """``snapshot_date, changed``: does a snapshot differ from the one before it."""
     order = Window.orderBy("snapshot_date")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seasonframe.constants import BYE, DNP, POINTS_KEY, SCORING_BASIS
 from seasonframe.functions import round_cents, weighted_sum
+from seasonframe.operators.skew import SALTS
 from seasonframe.operators.availability import absence_segments, availability
 from seasonframe.operators.weekly import flag_is_one, player_weeks
 
@@ -62,6 +63,25 @@ def point_rows(totals: DataFrame) -> DataFrame:
     return rows.filter("week IS NOT NULL")
 
 
+def league_matrix(totals: DataFrame, weights: DataFrame, salts: int = SALTS) -> DataFrame:
+    """``season, player_id, league_id, points``: every player under the weights of every league.
+
+    A sparse product: stats and weights meet by ``stat_key``, so that only keys with a weight cost
+    anything, and a player has a row for each league that weighs one of their stats. Keys are
+    few and some are everybody's, so each is dealt over ``salts`` by player; the weights,
+    which are many times fewer than the stats, are repeated for each. A player's products of a
+    league are added up in the order of their keys. ``weights`` is ``league_id, stat_key, weight``.
+    """
+    stats = totals.select("season", "player_id", F.explode("stats").alias("stat_key", "total"))
+    own = F.pmod(F.xxhash64("season", "player_id"), F.lit(salts)).cast("int")
+    repeated = weights.select("league_id", "stat_key", "weight", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    met = stats.withColumn("salt", own).join(repeated, ["stat_key", "salt"])
+    product = F.struct("stat_key", (F.col("total") * F.col("weight")).alias("points"))
+    rows = met.groupBy("season", "player_id", "league_id").agg(F.array_sort(F.collect_list(product)).alias("products"))
+    total = F.aggregate("products", F.lit(0.0), lambda acc, p: acc + p["points"])
+    return rows.select("season", "player_id", "league_id", round_cents(total).alias("points"))
+
+
 def league_points(totals: DataFrame, weights: Mapping[str, float] | Column) -> DataFrame:
     """Points under a league's own scoring weights (a small map, or a map column)."""
     return totals.withColumn("leaguePoints", round_cents(weighted_sum(F.col("stats"), weights)))
