@@ -64,6 +64,35 @@ def q_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_TREE = f"""{V.MARKET},
+rw AS (SELECT snapshot_date, name, {_ROW_JSON} AS text FROM mk),
+rk AS (SELECT *, row_number() OVER (PARTITION BY snapshot_date ORDER BY name, text) - 1 AS rank FROM rw)"""
+
+
+@query(f"""WITH {_TREE}
+SELECT CAST(snapshot_date AS VARCHAR) AS snapshot_date, count(*) AS n, sha256('[' || string_agg(text, ',' ORDER BY rank) || ']') AS digest
+FROM rk GROUP BY snapshot_date HAVING count(*) <= 10000
+UNION ALL SELECT CAST(snapshot_date AS VARCHAR), CAST(sum(n) AS BIGINT), sha256(string_agg(d, '' ORDER BY place))
+FROM (SELECT snapshot_date, rank // 10000 AS place, count(*) AS n, sha256('[' || string_agg(text, ',' ORDER BY rank) || ']') AS d FROM rk GROUP BY ALL)
+GROUP BY snapshot_date HAVING count(*) > 1""")
+def q_digest(spark: SparkSession, sf: str) -> DataFrame:
+    """SHA-256 of each snapshot's rows in name order."""
+    return _dated(M.content_digests(V.market(spark, sf)))
+
+
+@query(f"""WITH {_TREE},
+l0 AS (SELECT snapshot_date, rank // 20 AS place, count(*) AS n, sha256('[' || string_agg(text, ',' ORDER BY rank) || ']') AS d FROM rk GROUP BY ALL),
+l1 AS (SELECT snapshot_date, place // 20 AS up, count(*) AS c, sum(n) AS n, any_value(d) AS one, sha256(string_agg(d, '' ORDER BY place)) AS d FROM l0 GROUP BY ALL),
+m1 AS (SELECT snapshot_date, up AS place, n, CASE WHEN c = 1 AND up = 0 THEN one ELSE d END AS d FROM l1),
+l2 AS (SELECT snapshot_date, place // 20 AS up, count(*) AS c, sum(n) AS n, any_value(d) AS one, sha256(string_agg(d, '' ORDER BY place)) AS d FROM m1 GROUP BY ALL),
+m2 AS (SELECT snapshot_date, up AS place, n, CASE WHEN c = 1 AND up = 0 THEN one ELSE d END AS d FROM l2),
+l3 AS (SELECT snapshot_date, place // 20 AS up, count(*) AS c, sum(n) AS n, any_value(d) AS one, sha256(string_agg(d, '' ORDER BY place)) AS d FROM m2 GROUP BY ALL)
+SELECT CAST(snapshot_date AS VARCHAR) AS snapshot_date, CAST(n AS BIGINT) AS n, CASE WHEN c = 1 AND up = 0 THEN one ELSE d END AS digest FROM l3""")
+def q_digest_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as a tree of twenty rows or digests a node."""
+    return _dated(M.content_digests(V.market(spark, sf), leaf=20))
+
+
 @query(f"""WITH {V.MARKET}, {_PRINTS}
 SELECT CAST(snapshot_date AS VARCHAR) AS snapshot_date, n IS DISTINCT FROM lag(n) OVER w OR lo IS DISTINCT FROM lag(lo) OVER w
                       OR hi IS DISTINCT FROM lag(hi) OVER w AS changed
@@ -239,3 +268,31 @@ def q_listing_blocks(spark: SparkSession, sf: str) -> DataFrame:
             F.lit("</body></html>")).alias("html"))
     )
     return listing.listing_rows(pages).select("page", "name", "team", "value", "position")
+
+
+@query("""SELECT CAST(c_custkey // 50 AS BIGINT) AS page, c_name || ' of ' || n_name AS name, n_name || ' ' || n_regionkey AS team,
+       CAST(floor(c_acctbal) AS INTEGER) AS value, CASE WHEN c_custkey % 4 <> 0 THEN 'WR' END AS position
+FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal >= 0 AND c_custkey % 5 <> 0""")
+def q_listing_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """Listing blocks whose fields hold elements of their own names, parsed back from rendered pages.
+
+    Names have links around a nested span, teams a span in a span, values a ``div`` before the
+    paragraph that counts, positions a ``div`` in a ``div`` and a void element. Every fifth block
+    closes its name before the link, which makes the row invalid.
+    """
+    rows = V.table(spark, sf, "customer").join(V.table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    broken, plain = F.col("c_custkey") % 5 == 0, F.col("c_custkey") % 4 == 0
+    number = F.when(F.col("c_acctbal") >= 0, F.format_number(F.floor("c_acctbal"), 0)).otherwise("")
+    block = F.concat(
+        F.lit('<div class="onePlayer"><div class="player-name"><div><b>#</b></div><p>'),
+        F.when(broken, "</p></div><div><p>").otherwise(""),
+        F.lit('<a href="#"><span>'), F.col("c_name"), F.lit("</span> of <!-- <a> --><i>"), F.col("n_name"), F.lit("</i></a></p>"),
+        F.lit('<span class="player-team"><span class="x">'), F.col("n_name"), F.lit("</span><br> "), F.col("n_regionkey").cast("string"),
+        F.lit('</span></div><div class="value"><div><div>up</div></div><p>'), number, F.lit("<p>9</p></p></div>"),
+        F.lit('<div class="position-team"><div><div>'), F.when(plain, "none").otherwise("x"), F.lit("</div><hr>"),
+        F.when(plain, "").otherwise(" wr3"), F.lit("</div></div><div>QB1</div></div>"),
+    )
+    pages = rows.groupBy(F.floor(F.col("c_custkey") / 50).alias("page"))
+    pages = pages.agg(F.array_sort(F.collect_list(F.struct("c_custkey", block.alias("html")))).alias("blocks"))
+    html = F.array_join(F.transform("blocks", lambda b: b["html"]), " ")
+    return listing.listing_rows(pages.select("page", html.alias("html"))).select("page", "name", "team", "value", "position")

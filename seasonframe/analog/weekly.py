@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seasonframe.analog import views as V
 from seasonframe.analog.registry import query
-from seasonframe.functions import season_of_date
+from seasonframe.functions import player_key, season_of_date
 from seasonframe.operators import availability as A
-from seasonframe.operators import dedup, diff, injuries, totals, weekly
+from seasonframe.operators import catalog, dedup, diff, injuries, totals, weekly
 from seasonframe.plans.college import college_plan
+from seasonframe.plans.buckets import BucketedTable
 from seasonframe.plans.season import season_plan
+from seasonframe.plans.warehouse import shared_folder
 
 KEY = ["season", "player_id"]
 
@@ -279,6 +283,70 @@ def q_category_plan(spark: SparkSession, sf: str) -> DataFrame:
     return plan.select("season", "category", "old_n", "new_n", "action")
 
 
+@query(f"WITH {V.ORDER_DIFF} SELECT season, player_id, status, old_points, new_points, delta FROM dif")
+def q_diff_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Every player's change since last season, which is stored in buckets."""
+    new = V.order_totals(spark, sf)
+    path = f"{shared_folder(spark)}/totals-{uuid.uuid4().hex}"
+    stored = BucketedTable(spark, path, "season INT, player_id STRING, fantasyPoints DOUBLE, player_key STRING", ["season"], "player_key", 16)
+    stored.write(V.carried_over(new).withColumn("player_key", player_key("season", "player_id")))
+    return diff.season_diff(stored.read(), new).select(*KEY, "status", "old_points", "new_points", "delta")
+
+
+_REPAIR = """
+tot AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS season, o_custkey AS player_id, count(*) AS points,
+               count(*) FILTER (year(o_orderdate) % 3 <> 0 OR o_orderstatus <> 'F') AS old_points FROM orders GROUP BY 1, 2),
+n AS (SELECT season, nullif(count(*) FILTER (old_points > 0), 0) AS old_n, count(*) AS new_n,
+             bool_and(points = old_points) AS identical FROM tot GROUP BY season),
+man AS (SELECT 'season_totals/' || season AS path, old_n + CASE WHEN season % 4 = 2 THEN 1 ELSE 0 END AS record_count,
+               season % 5 = 0 AS in_progress
+        FROM n WHERE old_n IS NOT NULL AND season % 4 <> 1
+        UNION ALL SELECT 'season_totals/' || (season + 100), new_n, true FROM n)"""
+
+
+def _repair(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New and stored totals, and a manifest that lacks years, has wrong counts and lists years that are not stored.
+
+    Every third year is stored without its finished orders; all others are stored as they are.
+    """
+    orders = V.table(spark, sf, "orders").select(F.year("o_orderdate").alias("season"), "o_orderstatus", F.col("o_custkey").cast("string").alias("player_id"))
+    points = F.count(F.lit(1)).cast("double").alias("fantasyPoints")
+    new = orders.groupBy("season", "player_id").agg(points)
+    old = orders.filter("season % 3 <> 0 OR o_orderstatus <> 'F'").groupBy("season", "player_id").agg(points)
+    counted = catalog.record_counts(old, F.col("season")).withColumnRenamed("path", "season").filter("season % 4 <> 1")
+    entries = counted.select(
+        "season", (F.col("recordCount") + (F.col("season") % 4 == 2).cast("int")).alias("recordCount"), (F.col("season") % 5 == 0).alias("inProgress")
+    )
+    gone = catalog.record_counts(new, F.col("season") + 100).withColumnRenamed("path", "season").withColumn("inProgress", F.lit(True))
+    manifest = entries.unionByName(gone)
+    return new, old, manifest.select(F.concat(F.lit("season_totals/"), F.col("season").cast("string")).alias("path"), "recordCount", "inProgress")
+
+
+@query(f"""WITH {_REPAIR}
+SELECT season, old_n, new_n,
+       CASE WHEN old_n IS NULL THEN 'write'
+            WHEN identical AND record_count IS DISTINCT FROM old_n THEN 'index' WHEN identical THEN 'skip'
+            WHEN in_progress = false THEN 'refuse' ELSE 'write' END AS action
+FROM n LEFT JOIN man ON man.path = 'season_totals/' || season""")
+def q_publish_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """The season plan's decisions where the manifest doesn't tell what is stored."""
+    new, old, manifest = _repair(spark, sf)
+    return season_plan(new, old, manifest, current_season=0).select("season", "old_n", "new_n", "action")
+
+
+@query(f"""WITH {_REPAIR},
+st AS (SELECT 'season_totals/' || season AS path, old_n FROM n WHERE old_n IS NOT NULL)
+SELECT coalesce(st.path, man.path) AS path, old_n AS "storedCount", record_count AS "recordCount",
+       CASE WHEN man.path IS NULL THEN 'missing' WHEN st.path IS NULL THEN 'orphan'
+            WHEN old_n = record_count THEN 'ok' ELSE 'stale' END AS state
+FROM st FULL JOIN man ON st.path = man.path""")
+def q_reconcile(spark: SparkSession, sf: str) -> DataFrame:
+    """What is stored against what the manifest tells."""
+    _, old, manifest = _repair(spark, sf)
+    stored = catalog.record_counts(old, F.concat(F.lit("season_totals/"), F.col("season").cast("string")))
+    return catalog.reconcile(stored.withColumnRenamed("recordCount", "storedCount"), manifest)
+
+
 # Injuries against segments ----------------------------------------------------------------------
 
 _OUTCOME = """CASE WHEN per.player_id IS NULL THEN 'no_season' WHEN seg.player_id IS NULL THEN 'no_segment'

@@ -1,11 +1,15 @@
+import json
 import random
 from collections import Counter
 from datetime import date
+from hashlib import sha256
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seasonframe import schemas as S
 from seasonframe.operators import listing, market
+from seasonframe.operators.ranks import dense_ranks
 
 D1, D2, D3 = date(2026, 5, 1), date(2026, 5, 8), date(2026, 5, 15)
 
@@ -154,3 +158,49 @@ def test_landed_pages_are_not_capped(spark):
     rows = spark.createDataFrame([(p, 0, f"n{p}", None) for p in range(15)], "page INT, pos INT, name STRING, team STRING")
     assert listing.crawl_cutoff(rows, page_rows=1).count() == 15
     assert listing.crawl_cutoff(rows, page_rows=1, max_pages=10).count() == 10
+
+
+def test_a_field_ends_at_its_own_closing_tag(spark):
+    def text(html, cls="f", *path):
+        df = spark.createDataFrame([(html,)], "html STRING")
+        return df.select(listing._plain(listing.field_html(listing.tokens(F.col("html")), cls, *path)).alias("t")).first().t
+
+    assert text('<div class="f">a<div>b<div>c</div></div>d</div>e') == "abcd"
+    assert text('<DIV class="f">a<div>b</DIV>c<br><img/>d</div>e') == "abcd"
+    assert text('<p class="f">a<p>b</p>') == "a"
+    assert text('<div class="f"><span>x</span><p>a <i>b</i></p><p>c</p></div>', "f", "p") == "a b"
+    assert text('<div class="f"></div><p>a</p>', "f", "p") == ""
+    assert text('<div class="g">a</div>') == "" and text("") == "" and text('<div class="f">never closed <b>x') == "never closed x"
+    assert text('<div class="f"><a>1</a></div><div class="f"><a>2</a></div>', "f", "a") == "1"
+    assert text('<div class="f"><!-- </div> -->a<input></div>b') == "a"
+
+
+def test_digest_is_that_of_the_flat_array_or_of_a_tree_of_it(spark):
+    rows = [(D1, i, f"n{i % 90:02d}", None if i % 3 else "SF", i % 7, "QB") for i in range(137)] + [(D2, 0, "a", None, None, None)]
+    texts = sorted((r[2], json.dumps({k: v for k, v in zip(("name", "position", "team", "value"), (r[2], r[5], r[3], r[4])) if v is not None}, separators=(",", ":"))) for r in rows[:137])
+    texts = [t for _, t in texts]
+
+    def sha(text):
+        return sha256(text.encode()).hexdigest()
+
+    def tree(digests, k):
+        while len(digests) > 1:
+            digests = [sha("".join(digests[i : i + k])) for i in range(0, len(digests), k)]
+        return digests[0]
+
+    for leaf in (1000, 137, 50, 6):
+        for parts in (1, 7):
+            got = {r.snapshot_date: (r.n, r.digest) for r in market.content_digests(frame(spark, rows).repartition(parts), leaf).collect()}
+            leaves = [sha("[" + ",".join(texts[i : i + leaf]) + "]") for i in range(0, 137, leaf)]
+            assert got == {D1: (137, tree(leaves, leaf)), D2: (1, sha('[{"name":"a"}]'))}
+    assert market.content_digests(frame(spark, [])).collect() == []
+
+
+def test_ranks_are_dense_over_partitions(spark):
+    session = spark.newSession()
+    session.conf.set("spark.sql.adaptive.enabled", "false")
+    session.conf.set("spark.sql.shuffle.partitions", "9")
+    df = session.range(5000).selectExpr("IF(id % 3 = 0, 0, id % 11) AS g", "abs(xxhash64(id)) AS o")
+    got = dense_ranks(df, ["g"], ["o"])
+    plain = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("o")) - 1)
+    assert sorted(map(tuple, got.select("g", "o", "rank").collect())) == sorted(map(tuple, plain.collect()))
