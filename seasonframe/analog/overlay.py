@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seasonframe.analog import views as V
 from seasonframe.analog.registry import query
 from seasonframe.operators import overlay as O
+from seasonframe.plans.overlay import stored_overlay, upsert_entries
+from seasonframe.plans.warehouse import Warehouse, shared_folder, stored_manifest
 
 
 def _existing(spark: SparkSession, sf: str) -> DataFrame:
@@ -148,3 +153,19 @@ FROM (SELECT 'e' || p_partkey AS id FROM part) p LEFT JOIN al ON al.id = p.id GR
 def q_remove_targets(spark: SparkSession, sf: str) -> DataFrame:
     """The type each asked id is removed from; unknown ids are reported."""
     return O.removal_targets(_stacked(spark, sf), _asked(spark, sf)).select("id", "overlay", "found")
+
+
+@query(f"""WITH {V.NOTES}, kept AS (
+  SELECT * FROM nt WHERE player_id IS NOT NULL AND team IS NULL AND (year IS NULL OR year >= 2012) AND trim(body) <> '')
+SELECT player_id, year, sha256(body) AS body, (SELECT count(*) FROM kept) AS record_count, 'no-op' AS again FROM kept""")
+def q_overlay_publish(spark: SparkSession, sf: str) -> DataFrame:
+    """Notes on players published to a warehouse and once more: what is stored, what the manifest counts, what the second run does."""
+    wh = Warehouse(f"{shared_folder(spark)}/overlay-{uuid.uuid4().hex}")
+    notes = V.notes(spark, sf).filter("playerId IS NOT NULL AND team IS NULL AND (year IS NULL OR year >= 2012) AND trim(body) <> ''")
+    fields = notes.withColumn("ord", F.col("doc_id")).drop("id", "doc_id")
+    for hour in (1, 2):
+        plan = upsert_entries(spark, "notes", fields, wh, datetime(2028, 1, 1, hour, tzinfo=UTC), current_year=2028)
+    again = plan.select("id", F.col("action").alias("again"))
+    count = stored_manifest(spark, wh).filter("path = 'overlay/notes'").select("recordCount").scalar()
+    stored = stored_overlay(spark, wh, "notes").join(again, "id", "left")
+    return stored.select(F.col("playerId").alias("player_id"), "year", F.sha2("body", 256).alias("body"), count.alias("record_count"), "again")

@@ -163,7 +163,10 @@ def test_landed_pages_are_not_capped(spark):
 def test_a_field_ends_at_its_own_closing_tag(spark):
     def text(html, cls="f", *path):
         df = spark.createDataFrame([(html,)], "html STRING")
-        return df.select(listing._plain(listing.field_html(listing.tokens(F.col("html")), cls, *path)).alias("t")).first().t
+        slow = listing.field_html(listing.tokens(F.col("html")), cls, *path)
+        got = df.select(listing._plain(slow).alias("slow"), listing._plain(listing._field(F.col("html"), cls, *path)).alias("t")).first()
+        assert got.slow == got.t
+        return got.t
 
     assert text('<div class="f">a<div>b<div>c</div></div>d</div>e') == "abcd"
     assert text('<DIV class="f">a<div>b</DIV>c<br><img/>d</div>e') == "abcd"
@@ -204,3 +207,23 @@ def test_ranks_are_dense_over_partitions(spark):
     got = dense_ranks(df, ["g"], ["o"])
     plain = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("o")) - 1)
     assert sorted(map(tuple, got.select("g", "o", "rank").collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_pattern_and_tokens_agree(spark):
+    """Random markup; a field by the pattern, where it is sure, is the field by the tokens."""
+    rng = random.Random(4)
+    tags = ("div", "p", "a", "span")
+
+    def markup(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(("x", "y 1", "", "<br>", "<!-- </div> -->", "<p>", "</a>", "<a/>", "&amp;"))
+        tag = rng.choice(tags)
+        cls = rng.choice(("", ' class="f"', " class='g f'", " class=f", ' id="f"'))
+        close = "" if rng.random() < 0.1 else f"</{tag if rng.random() < 0.9 else tag.upper()}>"
+        return f"<{tag}{cls}>" + "".join(markup(depth - 1) for _ in range(rng.randint(0, 3))) + close
+
+    df = spark.createDataFrame([("".join(markup(4) for _ in range(3)),) for _ in range(1500)], "html STRING").repartition(4)
+    for path in ((), ("p",), ("p", "a"), ("div",)):
+        both = df.select("html", listing._field(F.col("html"), "f", *path).alias("fast"), listing.field_html(listing.tokens(F.col("html")), "f", *path).alias("slow"))
+        assert both.filter("slow <> ''").count() > 50
+        assert both.filter("NOT fast <=> slow").collect() == []
