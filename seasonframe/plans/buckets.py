@@ -23,9 +23,10 @@ class BucketedTable:
         self.spark, self.path, self.by, self.key, self.buckets = spark, path, list(by), key, buckets
         digest = hashlib.sha256(f"{path} {buckets}".encode()).hexdigest()[:16]
         self.name = f"bucketed_{digest}"
+        place = path.replace("\\", "\\\\").replace("'", "\\'")
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name} ({schema}) USING parquet PARTITIONED BY ({', '.join(self.by)}) "
-            f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'"
+            f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{place}'"
         )
         self.refresh()
 

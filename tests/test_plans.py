@@ -218,7 +218,7 @@ def test_only_the_new_side_of_a_comparison_moves(spark, tmp_path):
     session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     session.conf.set("spark.sql.adaptive.enabled", "false")
     session.conf.set("spark.sql.shuffle.partitions", "5")
-    wh = Warehouse(str(tmp_path), buckets=8)
+    wh = Warehouse(str(tmp_path / "it's here"), buckets=8)
     rows = session.range(3000).selectExpr("CAST(2020 + id % 3 AS INT) AS season", "CAST(id AS STRING) AS player_id", "CAST(id % 50 AS DOUBLE) AS fantasyPoints")
     table = season_table(session, wh)
     empty = session.createDataFrame([], S.SEASON_TOTALS)
