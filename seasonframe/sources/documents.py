@@ -9,7 +9,7 @@ from seasonframe import schemas as S
 from seasonframe.constants import OVERLAY_TYPES
 from seasonframe.functions import season_of_date, snapshot_date_of
 from seasonframe.operators.weekly import usable_entries
-from seasonframe.sources.tables import path_or_empty
+from seasonframe.sources.tables import documents_at, path_or_empty
 
 
 def file_stem(file: Column) -> Column:
@@ -87,11 +87,14 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     return array_documents(docs, S.MARKET_ROW)
 
 
-def read_overlay(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Entries of one overlay type from ``path/<kind>.json``; none when the file is missing."""
+def read_overlay(spark: SparkSession, path: str, kind: str, lines: bool = False) -> DataFrame:
+    """Entries of one overlay type from ``path/<kind>.json``; none when the file is missing.
+
+    Here and below, ``lines`` tells that each line is a document, not each file.
+    """
     entry = S.ddl(S.OVERLAY_ENTRIES[kind])
     wrapper = f"schemaVersion INT, updatedAt TIMESTAMP, entries {S.array_of(entry)}"
-    docs = path_or_empty(spark, f"{path}/{kind}.json")
+    docs = path_or_empty(spark, f"{path}/{kind}.json", lines)
     rows = docs.select(F.from_json("value", wrapper).alias("doc")).select(
         F.posexplode("doc.entries").alias("ord", "entry")
     )
@@ -109,16 +112,16 @@ def overlay_documents(spark: SparkSession, path: str) -> DataFrame:
     return docs.select(stem.alias("overlay"), "value").filter(F.col("overlay").isin(*OVERLAY_TYPES))
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+def read_manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Manifest entries, one row per data path. A missing manifest is an error."""
-    docs = spark.read.option("wholetext", True).text(path)
+    docs = documents_at(spark, path, lines)
     files = F.from_json("value", f"files {S.map_of(S.MANIFEST_RECORD)}")["files"]
     return docs.select(F.explode(files).alias("path", "record")).select("path", "record.*")
 
 
 def manifest_header(spark: SparkSession, path: str) -> DataFrame:
     """When the manifest was made and what it was exported from: ``generatedAt, exportedAt``."""
-    docs = spark.read.option("wholetext", True).text(path)
+    docs = documents_at(spark, path)
     header = F.from_json("value", "generatedAt TIMESTAMP, exportedAt TIMESTAMP")
     return docs.select(header.alias("h")).select("h.*")
 
@@ -129,16 +132,16 @@ def current_season(spark: SparkSession, path: str, today: Column) -> DataFrame:
     return state.select(F.coalesce("said", season_of_date(today)).alias("current_season"))
 
 
-def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """Season state with ``current_season`` as a number; a one-row table."""
-    docs = path_or_empty(spark, path)
+def read_state(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Season state with ``current_season`` as a number; a row for each document."""
+    docs = path_or_empty(spark, path, lines)
     state = docs.select(F.from_json("value", S.STATE).alias("s")).select("s.*")
     return state.withColumn("current_season", F.col("season").try_cast("int"))
 
 
-def read_players(spark: SparkSession, path: str) -> DataFrame | None:
+def read_players(spark: SparkSession, path: str, lines: bool = False) -> DataFrame | None:
     """Player dimension keyed by id, or None when the file is missing."""
-    docs = path_or_empty(spark, path)
+    docs = path_or_empty(spark, path, lines)
     if docs.isEmpty():
         return None
     return keyed_documents(docs.select("value"), S.PLAYER, "player_id")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.errors import AnalysisException
 
 from seasonframe import sources as R
+from seasonframe.analog import files
 from seasonframe.operators.college import pivot_category
 from seasonframe.operators.totals import season_totals
 from seasonframe.sources.documents import college_documents, overlay_documents
@@ -137,3 +138,30 @@ def test_current_season_and_manifest_header(spark, tmp_path):
     put(tmp_path, "manifest.json", {"generatedAt": "2026-05-01T00:00:00Z", "files": {}})
     header = manifest_header(spark, str(tmp_path / "manifest.json")).first()
     assert header.generatedAt.day == 1 and header.exportedAt is None
+
+
+def test_documents_on_lines(spark, tmp_path):
+    states = [{"week": 1, "season": "2024"}, {"week": 1, "season": "2024"}, {"week": 2, "season": "no year"}]
+    put(tmp_path, "state/part-0", json.dumps(states[0]) + "\r\n\n" + json.dumps(states[1]) + "\n")
+    put(tmp_path, "state/part-1", json.dumps(states[2]))
+    rows = R.read_state(spark, str(tmp_path / "state"), lines=True).orderBy("week").collect()
+    assert [(r.season, r.current_season, r.week) for r in rows] == [("2024", 2024, 1), ("2024", 2024, 1), ("no year", None, 2)]
+    put(tmp_path, "players/part-0", '{"1": {"position": "QB"}, "2": {}}\n{"3": {}}\n')
+    assert {r.player_id for r in R.read_players(spark, str(tmp_path / "players"), lines=True).collect()} == {"1", "2", "3"}
+    assert R.read_players(spark, str(tmp_path / "none"), lines=True) is None
+    with pytest.raises(AnalysisException):
+        R.read_manifest(spark, str(tmp_path / "none"), lines=True)
+
+
+def test_files_do_not_grow_with_documents(spark, tmp_path):
+    """Neither one file for each document nor one row for equal documents."""
+    spark.range(300).selectExpr("id % 299 AS s_suppkey").coalesce(2).write.parquet(str(tmp_path / "supplier.parquet"))
+    states = files.q_state_files(spark, str(tmp_path))
+    assert states.count() == 300 and len(states.inputFiles()) <= 8
+    customers = spark.range(2000).selectExpr("id AS c_custkey", "'c' || id AS c_name", "1D AS c_acctbal", "'A' AS c_mktsegment")
+    customers.coalesce(2).write.parquet(str(tmp_path / "customer.parquet"))
+    orders = spark.range(4000).selectExpr("id AS o_orderkey", "id % 2000 AS o_custkey", "TIMESTAMP '1999-05-01' AS o_orderdate")
+    orders.coalesce(2).write.parquet(str(tmp_path / "orders.parquet"))
+    for made in (files.q_player_files, files.q_overlay_files, files.q_manifest_files):
+        df = made(spark, str(tmp_path))
+        assert df.count() == 2000 and len(df.inputFiles()) <= 8
