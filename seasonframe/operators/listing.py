@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -131,40 +132,66 @@ def field_html(found: Column, cls: str, *path: str) -> Column:
     return F.aggregate(found, start, step, lambda s: s["text"])
 
 
-def _field(block: Column, cls: str, *path: str) -> Column:
-    """``field_html`` of a block's text, by one pattern where that can't be wrong.
+# How deep elements of one name may lie in each other for a pattern to follow them.
+NESTED = 4
+
+
+def _field_pattern(cls: str, path: Sequence[str]) -> str:
+    """``field_html`` as one pattern, whose group 2 is the field; it does not match where nesting is too deep.
 
-    A match is right if it begins with the first tag of the class, no gap before the next tag of the
-    path has such a tag or ends the element, the field holds no element of its own name, and no
-    comment may hide a tag. In all other cases the tokens decide.
+    It starts at the first character and goes on token by token, as ``tokens`` cuts them, in
+    possessive loops: there is one way to match, in one pass, and no backtracking over a block. Where
+    the path ends early, or there is no such class, it matches with an empty group.
     """
-    steps = "".join(rf"(.*?)<{tag}(?=[\s>])[^>]*(?<!/)>" for tag in path)
-    last = path[-1] if path else r"\1"
-    opening = rf"(?is)<(\w+)\b[^>]*{_has_class(cls)}[^>]*(?<!/)>"
-    pattern = rf"{opening}{steps}(.*?)</{last}\s*>"
-
-    def group(i: int) -> Column:
-        return F.regexp_extract(block, pattern, i)
-
-    names = [F.lower(group(1)), *[F.lit(tag) for tag in path]]
-    sure = (group(0) != "") & ~F.contains(block, F.lit("<!--"))
-    sure = sure & (F.instr(block, group(0)) == F.instr(block, F.regexp_extract(block, opening, 0)))
-    for k, tag in enumerate(path):
-        gap = F.lower(group(k + 2))
-        ended = F.contains(gap, F.concat(F.lit("</"), names[k])) | ((names[k] == "p") & F.contains(gap, F.lit("<p")))
-        sure = sure & ~ended & ~F.contains(gap, F.lit(f"<{tag}"))
-    text = group(len(path) + 2)
-    sure = sure & ~F.contains(F.lower(text), F.concat(F.lit("<"), names[-1]))
-    return F.when(sure, text).otherwise(field_html(tokens(block), cls, *path))
+    text, comment, stray = r"[^<]++", r"<!--.*?-->", r"<(?![^>]*+>)"
+    quoted = "|".join(f"{q}(?:[^{q}>]*\\s)?{re.escape(cls)}(?:\\s[^{q}>]*)?{q}" for q in ('"', "'"))
+    attribute = r"""class\s*+=\s*+(?:"[^">]*+"|'[^'>]*+'|[^\s>"'])"""
+    wanted = rf"""(?=(?:(?!{attribute})[^>])*+class\s*+=\s*+(?:{quoted}|{re.escape(cls)}(?=[\s>"'])))"""
+    void = f"(?!(?i:{'|'.join(VOID)})(?![\\w-]))"
+    paragraph = r"<(?i:p)(?![\w-])"
+
+    def tag(start: str, name: str) -> str:
+        return rf"{start}(?i:{name})(?![\w-])[^>]*+(?<!/)>"
+
+    def inside(own: str, sought: str, depth: int) -> str:
+        """Tokens and whole elements in ``own`` before its end or the tag ``sought``."""
+        tokens = rf"{text}|{comment}|(?!{tag('</?', own)}){sought}<[^>]*+>|{stray}"
+        if depth:
+            tokens += rf"|(?!{paragraph}){sought}{tag('<', own)}{inside(own, sought, depth - 1)}(?:{tag('</', own)}|\z)"
+        return f"(?:{tokens})*+"
+
+    def up_to(own: str, name: str, depth: int) -> str:
+        """All in ``own`` up to the first tag ``name``, which may lie in elements like ``own``."""
+        sought = f"(?!{tag('<', name)})"
+        deeper = rf"|(?!{paragraph}){sought}{tag('<', own)}{up_to(own, name, depth - 1)}" if depth else ""
+        return f"{inside(own, sought, depth)}(?:{tag('<', name)}{deeper})"
+
+    def rest(own: str, names: Sequence[str]) -> str:
+        end = rf"(?:\z|{tag('</', own)}|(?={paragraph}){tag('<', own)})"
+        if not names:
+            return f"({inside(own, '', NESTED)}){end}"
+        sought = f"(?!{tag('<', names[0])})"
+        missing = inside(own, sought, NESTED) + sought + end
+        return f"(?:{up_to(own, names[0], NESTED)}{rest(names[0], names[1:])}|{missing})"
+
+    before = rf"(?:{text}|{comment}|(?!<{wanted}{void}[A-Za-z][^>]*+(?<!/)>)<[^>]*+>|{stray})*+"
+    opening = rf"<{wanted}{void}([A-Za-z][\w-]*+)[^>]*+(?<!/)>"
+    return rf"(?s)\A{before}(?:\z|{opening}{rest(chr(92) + '1', path)})"
+
+
+def _field(block: Column, cls: str, *path: str) -> Column:
+    """``field_html`` of a block's text, by one pattern; the tokens decide where nesting is too deep for it."""
+    found = F.get(F.regexp_extract_all(block, F.lit(_field_pattern(cls, path)), F.lit(2)), F.lit(0))
+    shown = F.regexp_replace(found, r"(?s)<!--.*?-->|<!--[^>]*+>|(<[^>]*+>)|<", "$1")
+    return F.coalesce(shown, field_html(tokens(block), cls, *path))
 
 
 def listing_rows(pages: DataFrame, keys: Sequence[str] = ("page",)) -> DataFrame:
     """``keys, pos, name, team, value, position`` of every valid block of the pages.
 
-    Blocks are cut from the page text by a pattern, and so are fields where nothing is nested in
-    them; others are taken apart as a stream of tags, so that a field ends at its own closing tag
-    whatever it holds. A row without a name or a
-    numeric value is dropped and an empty team is NULL. The fields pass through ``inline``, which
+    Blocks are cut from the page text by a pattern, and so are fields, tag by tag, so that a field ends
+    at its own closing tag whatever it holds; those nested too deep for that are taken apart as a
+    stream of tags. A row without a name or a numeric value is dropped and an empty team is NULL. The fields pass through ``inline``, which
     keeps the optimizer from working them out once more for the filter.
     """
     blocks = pages.select(*keys, F.posexplode(split_blocks(F.col("html"))).alias("pos", "block"))

@@ -227,3 +227,49 @@ def test_pattern_and_tokens_agree(spark):
         both = df.select("html", listing._field(F.col("html"), "f", *path).alias("fast"), listing.field_html(listing.tokens(F.col("html")), "f", *path).alias("slow"))
         assert both.filter("slow <> ''").count() > 50
         assert both.filter("NOT fast <=> slow").collect() == []
+
+
+def test_nested_fields_need_no_fold(spark, monkeypatch):
+    """Elements of a field's own name, comments and paths that end early are decided by the pattern."""
+    monkeypatch.setattr(listing, "field_html", lambda *_: F.lit("fold"))
+
+    def text(html, *path):
+        return spark.createDataFrame([(html,)], "html STRING").select(listing._field(F.col("html"), "f", *path)).first()[0]
+
+    assert text('<div class="f">a<div>b<div>c</div></div>d</div>e') == "a<div>b<div>c</div></div>d"
+    assert text('<div class="f"><!-- </div> -->a<br></div>b') == "a<br>"
+    assert text('<div class="f"><div><div>up</div></div><p>7<p>9</p></p></div>', "p") == "7"
+    assert text('<div class="f"><div><b>#</b></div><p></p></div><div><p><a>x</a></p></div>', "p", "a") == ""
+    assert text('<div class="f"><div><p><a><span>x</span> <!-- <a> -->y</a></p></div></div>', "p", "a") == "<span>x</span> y"
+    assert text('<div class="g">a</div>') == "" and text('<div class="f">open <b>x') == "open <b>x"
+    deep = "<div>" * listing.NESTED + "x" + "</div>" * listing.NESTED
+    assert text(f'<div class="f">{deep}</div>') == deep and text(f'<div class="f"><div>{deep}</div></div>') == "fold"
+    long = "<div>x <i>y</i></div>" * 40000
+    assert text(f'<b>{long}</b><div class="f">{long}<p>{long}</p></div>') == f"{long}<p>{long}</p>"
+
+
+def test_pattern_and_tokens_agree_on_odd_markup(spark):
+    """Tags in attributes, loose signs, several classes, elements deeper than the pattern goes."""
+    rng = random.Random(9)
+    odd = ("x", " ", "<br>", "<BR class=f>", "<!-- </div> -->", "<!--", "-->", "<p>", "</p>", "<a/>", "</div/>", "<", "< b>", "<>", "<pre>")
+    odd += ('<div class="f', '<a title="<!--">', "<div\n class='f'>", '<img class="f"/>', "<!-->", "</div >")
+    classes = (' class="f"', ' class = "g\tf h"', ' class="ff"', " class=f-g", ' data-class="f"', ' class="g" class="f"', ' class=f"x', ' class="a>b f"', ' CLASS="f"', ' class="')
+
+    def markup(depth):
+        if depth == 0 or rng.random() < 0.25:
+            return rng.choice(odd)
+        tag = rng.choice(("div", "p", "a", "DIV", "p-x"))
+        close = "" if rng.random() < 0.1 else f"</{tag}>"
+        return f"<{tag}{rng.choice(classes) if rng.random() < 0.35 else ''}>" + "".join(markup(depth - 1) for _ in range(rng.randint(0, 3))) + close
+
+    def chain():
+        tag, n = rng.choice(("div", "p", "a")), rng.randint(1, 9)
+        return f"<{tag} class=f>" + "".join(f"<{tag}>{rng.choice(odd)}" for _ in range(n)) + "<p>in<a>" + f"</{tag}>x" * rng.randint(0, n + 1)
+
+    rows = [("".join(markup(5) if rng.random() < 0.8 else chain() for _ in range(2)),) for _ in range(2500)]
+    rows.append(("<p class=f><p>" + "<a>" * 7 + "in</a></p>",))
+    df = spark.createDataFrame(rows, "html STRING").repartition(4)
+    for path in ((), ("p", "a"), ("div", "div")):
+        both = df.select("html", listing._field(F.col("html"), "f", *path).alias("fast"), listing.field_html(listing.tokens(F.col("html")), "f", *path).alias("slow"))
+        assert both.filter("slow <> ''").count() > 50
+        assert both.filter("NOT fast <=> slow").collect() == []
